@@ -1,5 +1,8 @@
 """Queries over the driver's tables, and the SQL that each is held against."""
 
+from . import analytics, linking
+
 FLAGSHIP = "fuzzy_link_topk"
-QUERIES: dict = {}
-ORACLES: dict = {}
+_ALL = linking.QUERIES | analytics.QUERIES
+QUERIES = {name: query for name, (query, _) in _ALL.items()}
+ORACLES = {name: sql for name, (_, sql) in _ALL.items() if sql}
