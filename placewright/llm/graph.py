@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -18,10 +18,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     now = written(_oriented(edges), name)
     while True:
         then = written(_small_star(_large_star(now)), name)
-        if _summary(then) == _summary(now):
-            break
+        done = _summary(then) == _summary(now)
+        release(edges.sparkSession, now)
         now = then
-    stars = then.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        if done:
+            break
+    stars = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.union(stars.select(F.col("root").alias("node"), "root")).distinct()
 
 

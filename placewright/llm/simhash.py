@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_of, written
+from .common import documents, release, text_of, written
 from .graph import components
 
 WORDS, SEED, BITS = 3, 42, 3
@@ -31,6 +31,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))  # shift, width
 GENERATOR = 0xAE3  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 #: A key with more fingerprints than this is met in blocks of this size, each pair of blocks in a task's turn.
 BLOCK = 4096
+#: Row numbers that are sent to all tasks at most: 16 MB.
+SENT_ROWS = 2_000_000
 _STEP = 1 << 16
 
 
@@ -188,7 +190,9 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
         # the pair of blocks goes below the key: a key holds fewer than 2^18 blocks of 4,096 among 2^30 fingerprints
         cells = spread.select((F.shiftleft(F.col("key").cast("long"), 36) + F.shiftleft(F.least("own", "other").cast("long"), 18) + F.greatest("own", "other")).alias("cell"), "fp")
     dealt = cells.repartition("cell").sortWithinPartitions("cell", "fp")
-    return dealt.mapInArrow(_meet, "a long, b long").distinct()
+    links = written(dealt.mapInArrow(_meet, "a long, b long").distinct(), "simhash-pairs")
+    release(distinct.sparkSession, keyed)
+    return links
 
 
 def with_components(docs: DataFrame) -> DataFrame:
@@ -205,17 +209,21 @@ def with_components(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with the smallest id of their component, one row each; all columns stay.
 
-    Rows are told apart by a number given when the table is written, so equal and null ids are safe.
+    Rows are told apart by ``monotonically_increasing_id``, so equal and null ids are safe; ``docs`` should be a stored table,
+    whose partitions come out the same when read again. The rows that go are joined back: sent to all tasks while their number
+    is at most ``SENT_ROWS``, by a shuffle beyond.
     """
-    row = F.struct(*[docs[c] for c in docs.columns])
-    whole = written(docs.select(F.monotonically_increasing_id().alias("_row"), row.alias("_all")), "simhash-input")
-    prints = written(whole.select("_row", F.col("_all.doc_id").alias("doc_id"), fingerprints(F.coalesce(F.col("_all.text").cast("string"), F.lit(""))).alias("fp")), "simhash")
+    row = F.monotonically_increasing_id()
+    prints = written(docs.select(row.alias("_row"), docs["doc_id"].alias("doc_id"), fingerprints(text_of(docs)).alias("fp")), "simhash")
     order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("y"), F.col("_row").alias("row"))
     distinct = prints.groupBy("fp").agg(F.min(order).alias("least"))
     roots = components(fingerprint_links(distinct), "simhash-links")
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("least", F.coalesce("root", "fp").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("_row"))
-    return whole.join(kept, "_row", "left_semi").select("_all.*")
+    gone = written(prints.select("_row").join(kept, "_row", "left_anti").select(F.col("_row").alias("__gone")), "simhash-gone")
+    release(docs.sparkSession, prints)
+    few = gone.count() <= SENT_ROWS
+    return docs.withColumn("__row", row).join(F.broadcast(gone) if few else gone, F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

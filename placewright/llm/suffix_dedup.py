@@ -20,7 +20,6 @@ part. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -32,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bwt, segments
-from .common import documents, text_of, written
+from .common import documents, release, text_of, written
 
 LENGTH = 200
 #: Distinct segments of one key in a block at most; bytes of a block, about.
@@ -132,16 +131,6 @@ def _expand(length: int):
     return run
 
 
-def _release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes written tables that are no longer needed, and lets go of shuffle files of finished steps."""
-    for table in tables:
-        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def removal_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """(row, ranges) for ``rows`` (row: long, text: string without nulls): starts and ends of runs of repeated windows, alternately.
 
@@ -153,7 +142,7 @@ def removal_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     keys = cut.groupBy("m").agg(F.count("*").alias("c"), F.min("s").alias("a"), F.max("s").alias("b"), F.max("periodic").alias("periodic"))
     keys = keys.where("c > 1 or periodic").select("m", ((F.col("a") != F.col("b")) | (F.col("c") == 1)).alias("mixed"))
     shared = written(cut.drop("periodic").join(keys, "m"), "suffix-shared")
-    _release(spark, cut)
+    release(spark, cut)
     distinct = written(
         shared.where("mixed").groupBy("m", "s").agg(F.count("*").alias("c"), F.first("row").alias("row"), F.first("start").alias("start"), F.first("n").alias("n")), "suffix-distinct"
     )
@@ -164,7 +153,7 @@ def removal_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     dealt = dealt.withColumn("sub", F.pmod(F.xxhash64("s"), F.col("blocks").cast("long")).cast("int")).select("m", "sub", "blocks", "s", "c", "data")
     met = dealt.repartition("m", "sub").sortWithinPartitions("m", "sub")
     answers = written(met.mapInArrow(_expand(length), f"m long, s long, ranges {_INTS}, asks array<struct<h:long,l:long,j:int>>, offers array<struct<h:long,l:long>>"), "suffix-answers")
-    _release(spark)
+    release(spark)
     asks = answers.where(F.size("asks") > 0).select("m", "s", F.explode("asks").alias("x")).select("m", "s", "x.h", "x.l", "x.j")
     offers = answers.where(F.size("offers") > 0).select(F.explode("offers").alias("x")).select("x.h", "x.l")
     repeated = answers.where(F.size("ranges") > 0).select("m", "s", "ranges")
