@@ -21,7 +21,7 @@ from .common import documents, text_of
 ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX, TOKEN = r"AKIA[A-Z0-9]+", r"[0-9a-f]+", r"[A-Za-z0-9+/_=-]+"
 #: What must be somewhere in a text for the pattern to be worth running: necessary, not sufficient.
-HINTS = {"assign": r"(?i:passw|secret|token|api_?key)[a-z\"']*\x20*[:=]", "access": "AKIA", "hex": "[0-9a-f]{24}", "markov": r"[A-Za-z0-9+/_=-]{20}"}
+HINTS = {"assign": r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", "access": "AKIA", "hex": "[0-9a-f]{24}", "markov": r"[A-Za-z0-9+/_=-]{20}"}
 KINDS = ("assign", "access", "hex", "markov")
 LEAST = {"assign": 6, "access": 20, "hex": 24, "markov": 20}
 _CHUNK = 256

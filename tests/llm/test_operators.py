@@ -52,7 +52,7 @@ def base_spans(t):
 
 def test_secrets_match_patterns(spark, odd, none):
     model = secrets.log_ratios(secrets.labelled_strings(spark))
-    more = spark.createDataFrame([(i, t, 0.5, "", "", 1) for i, t in enumerate(["é password=abc secret : \"a.b/c=d\" Token=zzzzzz", "AKIA" + "AKIA" * 9 + " " + "0f" * 40, "x " * 50 + "api-key=12345678 apikey=12345678 " * 700])], SCHEMA)
+    more = spark.createDataFrame([(i, t, 0.5, "", "", 1) for i, t in enumerate(["é password=abc secret : \"a.b/c=d\" Token=zzzzzz PASSWORD: HunterTwo2 SECRET=abcdef passwD \"= qwerty12", "AKIA" + "AKIA" * 9 + " " + "0f" * 40, "x " * 50 + "api-key=12345678 apikey=12345678 " * 700])], SCHEMA)
     for row in secrets.with_spans(odd.union(more), model).select("text", secrets.joined(F.col("base_spans")).alias("b"), secrets.joined(F.col("all_spans")).alias("a")).collect():
         assert row["b"] == base_spans(row["text"])
         assert set(filter(None, row["b"].split(","))) <= set(row["a"].split(","))
