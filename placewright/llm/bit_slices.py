@@ -200,6 +200,22 @@ def top_k(vectors: DataFrame, asked: Column, k: int = TOP, block_rows: int = BLO
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.when(F.col("vec_id") != last, F.col("vec_id")).alias("vec_id"), "score")
 
 
+ORACLE_SQL = """
+WITH usable AS (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), parts AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM usable),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM parts q JOIN parts c ON q.i = c.i AND q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+  GROUP BY q.vec_id, c.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
+
+
 def op6_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return top_k(vectors, vectors["vec_id"] % EVERY == 0)

@@ -9,5 +9,5 @@ QUERIES = {f.__name__: f for f in (
     bpe.op5_byte_bpe, bit_slices.op6_bit_sliced_top_k, toxicity.op7_toxicity,
     simhash.op8_simhash, quality_rules.op9_quality_rules, quality_classifier.op10_quality_classifier,
 )}
-#: None of these can be stated in SQL: they fit models, repack bins, or need hashes that SQL engines lack.
-ORACLES: dict[str, str] = {}
+#: The others cannot be stated in SQL: they fit models, repack bins, or need hashes that SQL engines lack.
+ORACLES: dict[str, str] = {"op6_bit_sliced_top_k": bit_slices.ORACLE_SQL}
