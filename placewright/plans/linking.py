@@ -140,8 +140,7 @@ def address_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.element_at(F.split("text", "\n"), 1).alias("line"))
-    return docs.select("doc_id", X.clean_key(F.col("line")).alias("clean"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.clean_key(F.col("text")).alias("clean"))
 
 
 CLEAN_SQL = "SELECT doc_id, regexp_replace(lower(strip_accents(nfc_normalize(split_part(text, chr(10), 1)))), '[^\\w\\s]', '', 'g') AS clean FROM documents"

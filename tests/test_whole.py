@@ -28,3 +28,8 @@ def same_rows(got, want) -> None:
 def test_cascade_links_all_parts(spark, db):
     want = db.sql(plans.ORACLES["cascade_link"].replace(" WHERE p_partkey % 20 = 0", ""))
     same_rows(plans.QUERIES["cascade_link"](spark, SF), want)
+
+
+def test_clean_keys_hold_all_lines(spark, db):
+    want = db.sql(plans.ORACLES["clean_keys"].replace("split_part(text, chr(10), 1)", "text"))
+    same_rows(plans.QUERIES["clean_keys"](spark, SF), want)
