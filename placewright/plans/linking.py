@@ -135,8 +135,7 @@ UNION ALL SELECT 'District', 0 UNION ALL SELECT 'City', count(*) FILTER (code =
 
 
 def address_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.element_at(F.split("text", "\n"), 1).alias("line"))
-    return docs.select("doc_id", X.address_pattern(F.col("line")).alias("pattern"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.address_pattern(F.col("text")).alias("pattern"))
 
 
 def clean_keys(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,3 +33,10 @@ def test_cascade_links_all_parts(spark, db):
 def test_clean_keys_hold_all_lines(spark, db):
     want = db.sql(plans.ORACLES["clean_keys"].replace("split_part(text, chr(10), 1)", "text"))
     same_rows(plans.QUERIES["clean_keys"](spark, SF), want)
+
+
+def test_address_patterns_hold_all_lines(spark, tmp_path):
+    texts = ["Hauptstr. 5, Köln\nKreis Stolp", "\nbei  Ulm 3b", "Ulm\n\nAm Ring 7", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.pattern for r in plans.QUERIES["address_pattern"](spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(["STREET NUM, WORD DIST WORD", "PREP WORD NUM", "WORD PREP STREET NUM", "", None]))
