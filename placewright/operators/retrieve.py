@@ -14,16 +14,19 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest(queries: DataFrame, examples: DataFrame, k: int, score) -> DataFrame:
+def nearest(queries: DataFrame, examples: DataFrame, k: int, score, itself: bool = True) -> DataFrame:
     """(query_id, example_id, score, rank) of the ``k`` best examples of each query, ties to the smaller example.
 
     queries: query_id, q; examples: example_id, e. Blocks of examples meet all queries of a stated set; within a block only the
-    ``k`` best of a query go on, so what is shuffled is k rows for each query and block.
+    ``k`` best of a query go on, so what is shuffled is k rows for each query and block. Without ``itself``, the example with a
+    query's own id is left out.
     """
     blocks = 16
     dealt = examples.withColumn("_b", F.pmod(F.xxhash64("example_id"), F.lit(blocks)).cast("int"))
     asked = queries.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    scored = asked.join(dealt, "_b").select("query_id", "example_id", "_b", score(F.col("q"), F.col("e")).alias("score"))
+    met = asked.join(dealt, "_b")
+    met = met if itself else met.where("query_id <> example_id")
+    scored = met.select("query_id", "example_id", "_b", score(F.col("q"), F.col("e")).alias("score"))
     local = Window.partitionBy("query_id", "_b").orderBy(F.desc("score"), "example_id")
     some = scored.withColumn("_n", F.row_number().over(local)).where(F.col("_n") <= k)
     whole = Window.partitionBy("query_id").orderBy(F.desc("score"), "example_id")

@@ -227,8 +227,8 @@ ALIAS_SQL = "SELECT coalesce(CASE lower(lang) WHEN 'en' THEN 'English' WHEN 'de'
 def _hits(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    examples = e.where("vec_id % 100 <> 0").select(F.col("vec_id").alias("example_id"), F.col("embedding").alias("e"))
-    return K.nearest(queries, examples, k, K.cosine)
+    examples = e.select(F.col("vec_id").alias("example_id"), F.col("embedding").alias("e"))
+    return K.nearest(queries, examples, k, K.cosine, itself=False)
 
 
 def knn_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,8 +255,8 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = _hits(spark, sf_dir, 4)
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id"), "label", F.round(F.col("embedding")[0].cast("double"), 6).alias("x"))
     queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.struct("label", "x").alias("q"))
-    examples = e.where("vec_id % 100 <> 0").select(F.col("vec_id").alias("example_id"), F.struct("label", "x").alias("e"))
-    alike = K.nearest(queries, examples, 4, lambda q, x: F.when(q["label"] == x["label"], 1.0).otherwise(0.0) - F.abs(q["x"] - x["x"]))
+    examples = e.select(F.col("vec_id").alias("example_id"), F.struct("label", "x").alias("e"))
+    alike = K.nearest(queries, examples, 4, lambda q, x: F.when(q["label"] == x["label"], 1.0).otherwise(0.0) - F.abs(q["x"] - x["x"]), itself=False)
     return K.pooled(near, alike, 6).select("query_id", "example_id", F.round("score", 5).alias("score"), "rank", F.col("source").cast("long").alias("source"))
 
 

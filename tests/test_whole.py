@@ -40,3 +40,14 @@ def test_address_patterns_hold_all_lines(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.pattern for r in plans.QUERIES["address_pattern"](spark, str(tmp_path)).collect()}
     assert got == dict(enumerate(["STREET NUM, WORD DIST WORD", "PREP WORD NUM", "WORD PREP STREET NUM", "", None]))
+
+
+@pytest.mark.parametrize("name", ["knn_cosine_topk", "fallback_examples", "hybrid_topk"])
+def test_searches_find_other_queries_but_not_themselves(spark, tmp_path, name):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings AS SELECT i AS vec_id, [(1 + (i % 100 <> 0)::INT * ((i * 37 + j * j * 11) % 23) + ((i + 3 * j) % 7) / 10)::FLOAT FOR j IN range(8)] AS embedding, (i % 3)::INT AS label FROM range(301) t(i)")
+    con.execute(f"COPY embeddings TO '{tmp_path}/embeddings.parquet'")
+    given = con.sql(plans.ORACLES[name]).fetchall()
+    want = con.sql(plans.ORACLES[name].replace("e.vec_id % 100 <> 0", "e.vec_id <> q.vec_id"))
+    assert sorted(given) != sorted(want.fetchall())
+    same_rows(plans.QUERIES[name](spark, str(tmp_path)), want)
