@@ -175,10 +175,11 @@ MELT_SQL = f"WITH l AS (SELECT p_partkey, 'p_name' AS entity, p_name AS label, {
 
 
 def left_join_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part")
-    pred = part.select("p_name", F.col("p_size").alias("size_pred")).where("size_pred < 5")
-    true = part.select("p_name", F.col("p_size").alias("size_true")).where("size_true > 45")
-    return pred.join(true, "p_name", "left").groupBy("p_name", "size_pred", "size_true").agg(F.count("*").alias("cnt"))
+    sizes = table(spark, sf_dir, "part").groupBy("p_name", "p_size").agg(F.count("*").alias("n"))
+    pred = sizes.select("p_name", F.col("p_size").alias("size_pred"), F.col("n").alias("n_pred"))
+    true = sizes.select("p_name", F.col("p_size").alias("size_true"), F.col("n").alias("n_true"))
+    pairs = F.col("n_pred") * F.coalesce("n_true", F.lit(1))
+    return pred.join(true, "p_name", "left").select("p_name", "size_pred", "size_true", pairs.alias("cnt"))
 
 
 SUFFIX_SQL = "SELECT p_name, x.p_size AS size_pred, y.p_size AS size_true, count(*) AS cnt FROM (SELECT * FROM part WHERE p_size < 5) x LEFT JOIN (SELECT p_name, p_size FROM part WHERE p_size > 45) y USING (p_name) GROUP BY ALL"

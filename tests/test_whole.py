@@ -51,3 +51,8 @@ def test_searches_find_other_queries_but_not_themselves(spark, tmp_path, name):
     want = con.sql(plans.ORACLES[name].replace("e.vec_id % 100 <> 0", "e.vec_id <> q.vec_id"))
     assert sorted(given) != sorted(want.fetchall())
     same_rows(plans.QUERIES[name](spark, str(tmp_path)), want)
+
+
+def test_left_join_holds_all_sizes(spark, db):
+    want = db.sql(plans.ORACLES["left_join_suffix"].replace(" WHERE p_size < 5", "").replace(" WHERE p_size > 45", ""))
+    same_rows(plans.QUERIES["left_join_suffix"](spark, SF), want)
