@@ -13,9 +13,13 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder under the warehouse where it is unset, as in tests."""
+    """The shared folder of ``spark.checkpoint.dir``. Where it is unset, a folder under the warehouse on one machine, as in tests; an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -39,6 +43,65 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
     spark._jvm.System.gc()
 
 
+def unused(taken: DataFrame | list[str], *names: str) -> list[str]:
+    """``names``, each with underscores put behind it until no column has it; columns are told apart without case."""
+    known = {c.lower() for c in (taken if isinstance(taken, list) else taken.columns)}
+    out = []
+    for name in names:
+        while name.lower() in known:
+            name += "_"
+        known.add(name.lower())
+        out.append(name)
+    return out
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _is_plain_scan(df: DataFrame) -> bool:
+    """Whether ``df`` is one table of Parquet files, of which rows were chosen and columns computed."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        if not node.deterministic():
+            return False
+        node = node.children().head()
+    return node.nodeName().startswith(("Relation", "LogicalRelation")) and "parquet" in node.toString().lower()
+
+
+def with_row_keys(df: DataFrame, file: str, row: str) -> DataFrame:
+    """``df`` with two longs that name a row alike in every scan, however the cluster splits the files: a hash of its file's path and its place there.
+
+    Spark's ``_metadata`` gives both for Parquet tables. Anything else is first written to the shared folder, and read from there.
+    """
+    if not _is_plain_scan(df):
+        df = written(df, "rows")
+    place = df.metadataColumn("_metadata")
+    return df.select("*", F.xxhash64(place["file_path"]).alias(file), place["row_index"].alias(row))
+
+
+#: Keys that are too frequent to meet in one task each: no more than this are sent to all tasks.
+SENT_KEYS, FREQUENT = 100_000, 1024
+
+
+def joined_by_frequency(rows: DataFrame, known: DataFrame, keys: list[str], count: str, total: int | None = None) -> DataFrame:
+    """``rows`` joined with ``known``, which has each combination of ``keys`` once and how many rows hold it as ``count``.
+
+    Combinations with more rows than ``FREQUENT``, or than a share of 1 / ``SENT_KEYS`` of all, are fewer than ``SENT_KEYS``: their
+    ``known`` is sent to the rows wherever they are. The others meet by a shuffle in which no key has more rows than that. Both
+    tables are scanned twice and should be stored ones.
+    """
+    total = rows.count() if total is None else total
+    limit = max(FREQUENT, -(-total // SENT_KEYS))
+    frequent = known.where(F.col(count) > limit).drop(count)
+    rare = known.where(F.col(count) <= limit).drop(count)
+    if frequent.isEmpty():
+        return rows.join(rare, keys)
+    sent = F.broadcast(frequent)
+    return rows.join(sent, keys).unionByName(rows.join(sent.select(*keys), keys, "left_anti").join(rare, keys))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -7,6 +7,10 @@ neighbours. So each fingerprint gives, for each pair of segments, the keys (neig
 second) and (codeword of the first, neighbourhood of the second): any two linked fingerprints meet in some key. What meets is
 verified by counting bits, and a meeting of many gives a spanning forest of its links rather than all pairs.
 
+These keys have 24 bits, so chance meetings grow with the square of the number of distinct fingerprints. Beyond ``FEW`` of them the
+third segment lengthens the keys: where the two others differ in a bit at most each, the third differs in two at most, or in
+three if they are equal; so one of its three parts of 7 bits is equal, or the two others are. The links are the same.
+
 Null texts are empty ones; texts without words have fingerprint zero, which links like any other. Null ids take part, and
 the smallest id of a component is that of its rows with an id, null if none has. Repeated rows give repeated rows.
 """
@@ -23,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, release, text_of, written
+from .common import column, documents, joined_by_frequency, release, text_of, unused, with_row_keys, written
 from .graph import components
 
 WORDS, SEED, BITS = 3, 42, 3
@@ -31,8 +35,9 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))  # shift, width
 GENERATOR = 0xAE3  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
 #: A key with more fingerprints than this is met in blocks of this size, each pair of blocks in a task's turn.
 BLOCK = 4096
-#: Row numbers that are sent to all tasks at most: 16 MB.
-SENT_ROWS = 2_000_000
+#: Row keys that are sent to all tasks at most: 16 MB. Distinct fingerprints from which keys are longer.
+SENT_ROWS, FEW = 1_000_000, 1 << 26
+PART = 7
 _STEP = 1 << 16
 
 
@@ -94,9 +99,9 @@ def codeword_index(words: np.ndarray) -> np.ndarray:
     return (words ^ error[low[words & 4095] ^ high[words >> 12]]) >> 11
 
 
-def golay_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def golay_keys(prints: np.ndarray, longer: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) for every key of every fingerprint, each once."""
-    own, near = [], []
+    own, near, words = [], [], []
     for shift, width in SEGMENTS:
         word = (prints.view(np.uint64) >> np.uint64(shift)).astype(np.int64) & ((1 << width) - 1)
         flipped = word[:, None] ^ np.concatenate(([0], 1 << np.arange(width)))
@@ -104,24 +109,42 @@ def golay_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         index[:, 1:][index[:, 1:] == index[:, :-1]] = -1
         own.append(codeword_index(word))
         near.append(index)
+        words.append(word)
     rows, keys = [], []
     for p, (i, j) in enumerate(combinations(range(3), 2)):
         for first, second in ((near[i], own[j][:, None]), (own[i][:, None], near[j])):
             row, at = np.nonzero((first >= 0) & (second >= 0))
             wide = np.broadcast_arrays(first, second)
-            rows.append(row)
-            keys.append(p << 24 | wide[0][row, at] << 12 | wide[1][row, at])
-    both = np.unique(np.concatenate(rows) << 26 | np.concatenate(keys))
-    return both >> 26, both & ((1 << 26) - 1)
-
-
-def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints = batch.column(0).to_numpy(zero_copy_only=False)
-        for at in range(0, len(prints), 20_000):
-            part = prints[at : at + 20_000]
-            row, key = golay_keys(part)
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(part[row])], names=["key", "fp"])
+            key = p << 24 | wide[0][row, at] << 12 | wide[1][row, at]
+            if longer:
+                third = words[3 - i - j][row]
+                for part in range(3):  # the third part has what is left: 7 or 8 bits
+                    rows.append(row)
+                    keys.append(key << 10 | part << 8 | (third >> (PART * part) & ((1 << (PART + (part == 2))) - 1)))
+            else:
+                rows.append(row)
+                keys.append(key)
+        if longer:  # both equal: all their bits, below the other keys
+            rows.append(np.arange(len(prints)))
+            keys.append(~(np.int64(p) << 44 | words[i] << 22 | words[j]))
+    row, key = np.concatenate(rows), np.concatenate(keys)
+    order = np.lexsort((key, row))
+    row, key = row[order], key[order]
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
+    return row[fresh], key[fresh]
+
+
+def _emit_keys(longer: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = batch.column(0).to_numpy(zero_copy_only=False)
+            for at in range(0, len(prints), 10_000):
+                part = prints[at : at + 10_000]
+                row, key = golay_keys(part, longer)
+                yield pa.RecordBatch.from_arrays([pa.array(key if longer else key.astype(np.int32)), pa.array(part[row])], names=["key", "fp"])
+
+    return run
 
 
 def _bucket_links(prints: np.ndarray) -> list[tuple[int, int]]:
@@ -140,8 +163,8 @@ def _bucket_links(prints: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, cell, fp), sorted, to links (a, b). The last key of a batch waits for the next batch."""
-    held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """Rows (key, low, high, fp), sorted, to links (a, b). The last cell of a batch waits for the next batch."""
+    held_k, held_f, last, number = np.zeros(0, np.int64), np.zeros(0, np.int64), None, 0
 
     def links(k: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
         keep = np.ones(len(k), bool)
@@ -165,10 +188,15 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
 
     for batch in batches:
-        k = np.concatenate((held_k, batch.column(0).to_numpy(zero_copy_only=False)))
-        f = np.concatenate((held_f, batch.column(1).to_numpy(zero_copy_only=False)))
-        if not len(k):
+        if not batch.num_rows:
             continue
+        cell = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        starts = np.ones(batch.num_rows, bool)
+        starts[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cell])
+        first = tuple(int(c[0]) for c in cell)
+        k = np.cumsum(starts) + (len(held_k) > 0 and first == last) * -1 + number  # cells are numbered as they come
+        last, number = tuple(int(c[-1]) for c in cell), int(k[-1])
+        k, f = np.concatenate((held_k, k)), np.concatenate((held_f, batch.column(3).to_numpy(zero_copy_only=False)))
         cut = int(np.flatnonzero(k != k[-1])[-1]) + 1 if k[0] != k[-1] else 0
         held_k, held_f = k[cut:], f[cut:]
         if cut:
@@ -176,54 +204,58 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield links(held_k, held_f)
 
 
-def fingerprint_links(distinct: DataFrame) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, few: int | None = None) -> DataFrame:
     """Links (a, b) that join the same fingerprints as all links do; ``distinct``: column fp, each value once."""
-    keyed = distinct.select("fp").mapInArrow(_emit_keys, "key int, fp long")
-    keyed = written(keyed, "simhash-keys")
+    prints = written(distinct.select("fp"), "simhash-prints")
+    longer = prints.count() > (FEW if few is None else few)
+    keyed = written(prints.mapInArrow(_emit_keys(longer), f"key {'long' if longer else 'int'}, fp long"), "simhash-keys")
     crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    if crowded.isEmpty():
-        cells = keyed.select(F.col("key").cast("long").alias("cell"), "fp")
-    else:
+    cells = keyed.select("key", F.lit(0).alias("low"), F.lit(0).alias("high"), "fp")
+    if not crowded.isEmpty():
         joined = keyed.join(crowded, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         own = F.pmod(F.xxhash64("fp"), F.col("blocks").cast("long")).cast("int")
         spread = joined.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        # the pair of blocks goes below the key: a key holds fewer than 2^18 blocks of 4,096 among 2^30 fingerprints
-        cells = spread.select((F.shiftleft(F.col("key").cast("long"), 36) + F.shiftleft(F.least("own", "other").cast("long"), 18) + F.greatest("own", "other")).alias("cell"), "fp")
-    dealt = cells.repartition("cell").sortWithinPartitions("cell", "fp")
+        cells = spread.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp")
+    dealt = cells.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "fp")
     links = written(dealt.mapInArrow(_meet, "a long, b long").distinct(), "simhash-pairs")
-    release(distinct.sparkSession, keyed)
+    release(distinct.sparkSession, keyed, prints)
     return links
 
 
+def _rooted(prints: DataFrame, least: Column) -> DataFrame:
+    """fp, n (rows that have it), least, root for each distinct fingerprint."""
+    distinct = written(prints.groupBy("fp").agg(F.count("*").alias("n"), F.min(least).alias("least")), "simhash-distinct")
+    roots = components(fingerprint_links(distinct), "simhash-links")
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def with_components(docs: DataFrame) -> DataFrame:
     """doc_id, fp (signed long) and component_id for each row of ``docs`` (doc_id, text)."""
     prints = written(docs.select(docs["doc_id"].alias("doc_id"), fingerprints(text_of(docs)).alias("fp")), "simhash")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(fingerprint_links(distinct), "simhash-links")
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(prints, F.col("doc_id"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(named, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return prints.join(classes, F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", "component_id")
+    classes = written(rooted.join(named, "root").select("fp", "n", "component_id"), "simhash-classes")
+    return joined_by_frequency(prints, classes, ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with the smallest id of their component, one row each; all columns stay.
 
-    Rows are told apart by ``monotonically_increasing_id``, so equal and null ids are safe; ``docs`` should be a stored table,
-    whose partitions come out the same when read again. The rows that go are joined back: sent to all tasks while their number
-    is at most ``SENT_ROWS``, by a shuffle beyond.
+    Rows are told apart by their place in the table's files (``with_row_keys``), so equal and null ids are safe: of rows with equal ids
+    the first place stays, and rows with an id stay rather than rows without. Null and empty texts are one component; an empty table stays empty.
+    The rows that go are joined back: sent to all tasks while their number is at most ``SENT_ROWS``, by a shuffle beyond.
     """
-    row = F.monotonically_increasing_id()
-    prints = written(docs.select(row.alias("_row"), docs["doc_id"].alias("doc_id"), fingerprints(text_of(docs)).alias("fp")), "simhash")
-    order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("y"), F.col("_row").alias("row"))
-    distinct = prints.groupBy("fp").agg(F.min(order).alias("least"))
-    roots = components(fingerprint_links(distinct), "simhash-links")
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("least", F.coalesce("root", "fp").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias("_row"))
-    gone = written(prints.select("_row").join(kept, "_row", "left_anti").select(F.col("_row").alias("__gone")), "simhash-gone")
+    file, row, of_file, of_row = unused(docs, "file", "row", "of_file", "of_row")
+    keyed = with_row_keys(docs, file, row)
+    prints = written(keyed.select(F.col(file).alias("file"), F.col(row).alias("row"), keyed["doc_id"].alias("doc_id"), fingerprints(text_of(keyed)).alias("fp")), "simhash")
+    order = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("y"), F.col("file").alias("file"), F.col("row").alias("row"))
+    kept = _rooted(prints, order).groupBy("root").agg(F.min("least").alias("least")).select("least.file", "least.row")
+    gone = prints.select("file", "row").join(kept, ["file", "row"], "left_anti")
+    gone = written(gone.select(F.col("file").alias(of_file), F.col("row").alias(of_row)), "simhash-gone")
     release(docs.sparkSession, prints)
     few = gone.count() <= SENT_ROWS
-    return docs.withColumn("__row", row).join(F.broadcast(gone) if few else gone, F.col("__row") == F.col("__gone"), "left_anti").drop("__row")
+    left = keyed.join(F.broadcast(gone) if few else gone, (F.col(file) == F.col(of_file)) & (F.col(row) == F.col(of_row)), "left_anti")
+    return left.select(*map(column, docs.columns))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

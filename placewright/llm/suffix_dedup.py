@@ -10,12 +10,13 @@
    compared across blocks by hashes, with one row for each window and block at most.
 5. The repeated windows of each text are gathered and their bytes removed.
 
-Hashes of texts and windows have 128 bits (key and content of a segment; two hashes of a window); equal hashes count as equal
-strings. Keys and rows refer to texts by ``monotonically_increasing_id``, so ``docs`` should be a stored table, whose
-partitions come out the same when read again; the pipeline stores each stage's input.
+What is decided by hashes: whether segments of one key are equal (64 bits; never compared between keys, so that 1e14 pairs within keys
+would meet by chance 5e-6 times) and whether windows of a crowded key are (128 bits). Everything else is decided by the transform on
+the bytes. Segments refer to texts by the place of a row in its file (``with_row_keys``), which no change of the cluster alters.
+Keys and segments that very many rows hold are not shuffled by them (``joined_by_frequency``).
 
 Null texts are empty ones. Texts under 200 bytes stay as they are. Repeated rows remove each other. Ids and other columns play no
-part. An empty table gives an empty result.
+part; columns of any name are kept. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,49 +32,49 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bwt, segments
-from .common import documents, release, text_of, written
+from .common import SENT_KEYS, column, documents, joined_by_frequency, release, text_of, unused, with_row_keys, written
 
 LENGTH = 200
 #: Distinct segments of one key in a block at most; bytes of a block, about.
 CROWD, BLOCK_BYTES = 2048, 1_500_000
-_ROW, _RANGES = "__row", "__ranges"
 _INTS = "array<int>"
 
 
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(ids), 1000):
-                got = [(i, *segments.cut(t.encode("utf-8", "surrogatepass"), length)) for i, t in zip(ids[at : at + 1000], texts.slice(at, 1000).to_pylist(), strict=True)]
-                if not got:
-                    continue
-                count = [len(g[1]) for g in got]
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                got = [segments.cut(t.encode("utf-8", "surrogatepass"), length) for t in part.column(2).to_pylist()]
+                of = pa.array(np.repeat(np.arange(len(got)), [len(g[0]) for g in got]))
                 join = lambda k: np.concatenate([g[k] for g in got])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(np.array([g[0] for g in got], np.int64), count)), pa.array(join(1).view(np.int64)), pa.array(join(2).view(np.int64)), pa.array(join(3).astype(np.int32)), pa.array(join(4).astype(np.int32)), pa.array(join(5))],
-                    names=["row", "m", "s", "start", "n", "periodic"],
-                )
+                    [
+                        part.column(0).take(of), part.column(1).take(of), pa.array(join(0).view(np.int64)), pa.array(join(1).view(np.int64)),
+                        pa.array(join(2).astype(np.int32)), pa.array(join(3).astype(np.int32)), pa.array(join(4)),
+                    ],
+                    names=["file", "row", "m", "s", "start", "n", "periodic"],
+                )
 
     return run
 
 
 def _fetch(length: int):
-    """(text, [(m, s, c, start, n)]) to (m, s, c, data)."""
+    """(text, [(m, s, c, blocks, start, n)]) to (m, sub, blocks, s, c, data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                m, s, c, data = [], [], [], []
+                out: list[list] = [[] for _ in range(6)]
                 for text, asked in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     raw = text.encode("utf-8", "surrogatepass")
                     for x in asked:
-                        m.append(x["m"])
-                        s.append(x["s"])
-                        c.append(x["c"])
-                        data.append(raw[x["start"] : x["start"] + x["n"] + length - 1])
-                yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(s, pa.int64()), pa.array(c, pa.int64()), pa.array(data, pa.binary())], names=["m", "s", "c", "data"])
+                        sub = x["s"] % x["blocks"]
+                        for column, value in zip(out, (x["m"], sub, x["blocks"], x["s"], x["c"], raw[x["start"] : x["start"] + x["n"] + length - 1]), strict=True):
+                            column.append(value)
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["m", "sub", "blocks", "s", "c", "data"])
 
     return run
 
@@ -84,7 +85,7 @@ def _runs(flags: np.ndarray) -> list[int]:
 
 
 def _expand(length: int):
-    """Rows (m, sub, blocks, s, c, data), sorted by (m, sub), to (m, s, ranges, asks, offers)."""
+    """Rows (m, sub, blocks, s, c, data), sorted by (m, sub), to (m, s, c, ranges, asks, offers)."""
 
     def decide(rows: list[tuple]) -> pa.RecordBatch:
         groups: dict[tuple[int, int], int] = {}
@@ -109,10 +110,10 @@ def _expand(length: int):
         hashes = [("h", pa.int64()), ("l", pa.int64())]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([r[0] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()), pa.array(ranges, pa.list_(pa.int32())),
+                pa.array([r[0] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int64()), pa.array(ranges, pa.list_(pa.int32())),
                 pa.array(asks, pa.list_(pa.struct([*hashes, ("j", pa.int32())]))), pa.array(offers, pa.list_(pa.struct(hashes))),
             ],
-            names=["m", "s", "ranges", "asks", "offers"],
+            names=["m", "s", "c", "ranges", "asks", "offers"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,39 +133,42 @@ def _expand(length: int):
 
 
 def removal_ranges(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(row, ranges) for ``rows`` (row: long, text: string without nulls): starts and ends of runs of repeated windows, alternately.
+    """(file, row, ranges) for ``rows`` (file, row, text: string without nulls): starts and ends of runs of repeated windows, alternately.
 
-    Runs may touch or come in any order. Rows without repeats are left out.
+    ``file`` and ``row`` must name a row alike whenever ``rows`` is computed. Runs may touch or come in any order. Rows without repeats
+    are left out.
     """
     spark = rows.sparkSession
     long_rows = rows.where(F.octet_length("text") >= length)
-    cut = written(long_rows.mapInArrow(_cut(length), "row long, m long, s long, start int, n int, periodic boolean"), "suffix-cut")
+    cut = written(long_rows.mapInArrow(_cut(length), "file long, row long, m long, s long, start int, n int, periodic boolean"), "suffix-cut")
+    many = cut.count()
     keys = cut.groupBy("m").agg(F.count("*").alias("c"), F.min("s").alias("a"), F.max("s").alias("b"), F.max("periodic").alias("periodic"))
-    keys = keys.where("c > 1 or periodic").select("m", ((F.col("a") != F.col("b")) | (F.col("c") == 1)).alias("mixed"))
-    shared = written(cut.drop("periodic").join(keys, "m"), "suffix-shared")
-    release(spark, cut)
-    distinct = written(
-        shared.where("mixed").groupBy("m", "s").agg(F.count("*").alias("c"), F.first("row").alias("row"), F.first("start").alias("start"), F.first("n").alias("n")), "suffix-distinct"
-    )
+    keys = written(keys.where("c > 1 or periodic").select("m", "c", ((F.col("a") != F.col("b")) | (F.col("c") == 1)).alias("mixed")), "suffix-keys")
+    shared = written(joined_by_frequency(cut.drop("periodic"), keys, ["m"], "c", many), "suffix-shared")
+    release(spark, cut, keys)
+    mixed = shared.where("mixed").drop("mixed")
+    distinct = mixed.groupBy("m", "s").agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in ("file", "row", "start", "n")])
+    distinct = written(distinct, "suffix-distinct")
     crowded = distinct.groupBy("m").agg(F.count("*").alias("k")).where(F.col("k") > CROWD).select("m", F.ceil(F.col("k") / CROWD).cast("int").alias("blocks"))
-    asked = distinct.groupBy("row").agg(F.collect_list(F.struct("m", "s", "c", "start", "n")).alias("asked"))
-    fetched = long_rows.join(asked, "row").select("text", "asked").mapInArrow(_fetch(length), "m long, s long, c long, data binary")
-    dealt = fetched.join(crowded, "m", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("sub", F.pmod(F.xxhash64("s"), F.col("blocks").cast("long")).cast("int")).select("m", "sub", "blocks", "s", "c", "data")
-    met = dealt.repartition("m", "sub").sortWithinPartitions("m", "sub")
-    answers = written(met.mapInArrow(_expand(length), f"m long, s long, ranges {_INTS}, asks array<struct<h:long,l:long,j:int>>, offers array<struct<h:long,l:long>>"), "suffix-answers")
-    release(spark)
-    asks = answers.where(F.size("asks") > 0).select("m", "s", F.explode("asks").alias("x")).select("m", "s", "x.h", "x.l", "x.j")
+    few = distinct.count() // CROWD <= SENT_KEYS  # no more keys than that can be crowded
+    dealt = distinct.join(F.broadcast(crowded) if few else crowded, "m", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    asked = dealt.groupBy("file", "row").agg(F.collect_list(F.struct("m", "s", "c", "blocks", "start", "n")).alias("asked"))
+    fetched = long_rows.join(asked, ["file", "row"]).select("text", "asked").mapInArrow(_fetch(length), "m long, sub int, blocks int, s long, c long, data binary")
+    met = fetched.repartition("m", "sub").sortWithinPartitions("m", "sub")
+    answers = written(met.mapInArrow(_expand(length), f"m long, s long, c long, ranges {_INTS}, asks array<struct<h:long,l:long,j:int>>, offers array<struct<h:long,l:long>>"), "suffix-answers")
+    release(spark, distinct)
+    asks = answers.where(F.size("asks") > 0).select("m", "s", "c", F.explode("asks").alias("x")).select("m", "s", "c", "x.h", "x.l", "x.j")
     offers = answers.where(F.size("offers") > 0).select(F.explode("offers").alias("x")).select("x.h", "x.l")
-    repeated = answers.where(F.size("ranges") > 0).select("m", "s", "ranges")
+    repeated = answers.where(F.size("ranges") > 0).select("m", "s", "c", "ranges")
     if not asks.isEmpty():
-        twice = asks.select("h", "l").union(offers).groupBy("h", "l").agg(F.count("*").alias("c")).where("c > 1").select("h", "l")
-        more = asks.join(twice, ["h", "l"]).groupBy("m", "s").agg(F.flatten(F.collect_list(F.array(F.col("j"), F.col("j") + 1))).alias("ranges"))
-        repeated = repeated.union(more.select("m", "s", "ranges"))
+        twice = asks.select("h", "l").union(offers).groupBy("h", "l").agg(F.count("*").alias("t")).where("t > 1").select("h", "l")
+        more = asks.join(twice, ["h", "l"]).select("m", "s", "c", F.array(F.col("j"), F.col("j") + 1).alias("ranges"))
+        repeated = repeated.union(more).groupBy("m", "s").agg(F.max("c").alias("c"), F.flatten(F.collect_list("ranges")).alias("ranges"))  # of one segment's windows
+        repeated = written(repeated, "suffix-repeated")
     shift = F.transform("ranges", lambda x: x + F.col("start"))
-    some = shared.where("mixed").join(repeated, ["m", "s"]).select("row", shift.alias("ranges"))
-    whole = shared.where("not mixed").select("row", F.array(F.col("start"), F.col("start") + F.col("n")).alias("ranges"))
-    return some.union(whole).groupBy("row").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    some = joined_by_frequency(mixed, repeated, ["m", "s"], "c", many).select("file", "row", shift.alias("ranges"))
+    whole = shared.where("not mixed").select("file", "row", F.array(F.col("start"), F.col("start") + F.col("n")).alias("ranges"))
+    return some.union(whole).groupBy("file", "row").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
 def _covered(n: int, ranges: np.ndarray, length: int) -> np.ndarray:
@@ -190,18 +194,21 @@ def _without(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(_ROW, F.monotonically_increasing_id())
-
-
-def _with_ranges(docs: DataFrame, length: int) -> DataFrame:
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), text_of(docs).alias("text"))
-    found = removal_ranges(rows, length).select(F.col("row").alias("__of"), F.col("ranges").alias(_RANGES))
-    return _numbered(docs).join(found, F.col(_ROW) == F.col("__of"), "left")
+def _with_ranges(docs: DataFrame, name: str, length: int) -> DataFrame:
+    """``docs`` with the repeated windows of each text as column ``name``, null where there are none."""
+    file, row, of_file, of_row = unused([*docs.columns, name], "file", "row", "of_file", "of_row")
+    keyed = with_row_keys(docs, file, row)
+    rows = keyed.select(F.col(file).alias("file"), F.col(row).alias("row"), text_of(keyed).alias("text"))
+    found = removal_ranges(rows, length).select(F.col("file").alias(of_file), F.col("row").alias(of_row), F.col("ranges").alias(name))
+    return keyed.join(found, (F.col(file) == F.col(of_file)) & (F.col(row) == F.col(of_row)), "left").select(*map(column, docs.columns), name)
 
 
 def with_kept_text(docs: DataFrame, name: str, length: int = LENGTH) -> DataFrame:
-    """``docs`` with the text that is left as column ``name``; a character that is covered only in part stays."""
+    """``docs`` with the text that is left as column ``name``, which must be a new one; a character that is covered only in part stays.
+
+    Null texts stay null, texts without repeats (empty and short ones among them) as they are; repeated rows of ``LENGTH`` bytes and more
+    lose all of their text. All columns are kept; an empty table stays empty.
+    """
 
     @F.pandas_udf("string")
     def left(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -223,7 +230,9 @@ def with_kept_text(docs: DataFrame, name: str, length: int = LENGTH) -> DataFram
                 out.append(_without(data, runs).decode("utf-8", "surrogatepass"))
             yield pd.Series(out, index=texts.index, dtype=object)
 
-    return _with_ranges(docs, length).withColumn(name, left(F.col("text").cast("string"), F.col(_RANGES))).drop(_ROW, "__of", _RANGES)
+    (ranges,) = unused([*docs.columns, name], "ranges")
+    both = _with_ranges(docs, ranges, length)
+    return both.select(*map(column, docs.columns), left(F.col("text").cast("string"), F.col(ranges)).alias(name))
 
 
 def digest(text: Column, ranges: Column, length: int = LENGTH) -> Column:
@@ -245,5 +254,5 @@ def digest(text: Column, ranges: Column, length: int = LENGTH) -> Column:
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    both = _with_ranges(docs, LENGTH)
-    return both.select("doc_id", digest(text_of(both), F.col(_RANGES)).alias("d")).select("doc_id", "d.*")
+    both = _with_ranges(docs, "ranges", LENGTH)
+    return both.select("doc_id", digest(text_of(both), F.col("ranges")).alias("d")).select("doc_id", "d.*")
