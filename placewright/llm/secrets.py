@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_of
+from .common import column, documents, text_of, unused
 
 ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX, TOKEN = r"AKIA[A-Z0-9]+", r"[0-9a-f]+", r"[A-Za-z0-9+/_=-]+"
@@ -24,12 +24,12 @@ ACCESS, HEX, TOKEN = r"AKIA[A-Z0-9]+", r"[0-9a-f]+", r"[A-Za-z0-9+/_=-]+"
 HINTS = {"assign": r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", "access": "AKIA", "hex": "[0-9a-f]{24}", "markov": r"[A-Za-z0-9+/_=-]{20}"}
 KINDS = ("assign", "access", "hex", "markov")
 LEAST = {"assign": 6, "access": 20, "hex": 24, "markov": 20}
-_CHUNK = 256
+_CHUNK, _PIECE = 256, 1024
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 STATES = len(ALPHABET)
-#: Rows of the labelled samples at most; mean log-likelihood ratio for each transition from which a token is a secret.
-SAMPLE_STRINGS, THRESHOLD = 4000, 0.5
+#: Rows of the labelled samples at most; mean log-likelihood ratio for each transition from which a token is a secret, with figures and without.
+SAMPLE_STRINGS, THRESHOLD, THRESHOLD_LETTERS = 4000, 0.5, 1.0
 #: Parts of ordinary identifiers: syllables of words and names that programs use.
 PARTS = (
     "get set read write open close make find list item node tree index count value key user name path file line text data type code mode "
@@ -44,19 +44,30 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def prefix_sums(numbers: Column) -> Column:
-    """Sums of all elements up to each, starting with 0; in chunks, so that long arrays stay far from quadratic work."""
+def prefix_scan(numbers: Column, join) -> Column:
+    """0, then the first element, the first two joined, and so on; in chunks, so that long arrays stay far from quadratic work.
+
+    ``join`` is associative and 0 changes nothing in it: a sum, or the greater of numbers from 0.
+    """
     zero = F.lit(0).cast("long")
-    running = lambda a: F.aggregate(a, F.array(zero), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    total = lambda a: F.aggregate(a, zero, lambda acc, x: acc + x)
+    running = lambda a: F.aggregate(a, F.array(zero), lambda acc, x: F.concat(acc, F.array(join(F.element_at(acc, -1), x))))
+    total = lambda a: F.aggregate(a, zero, join)
 
     def chunked(chunks: Column) -> Column:
-        return let(running(F.transform(chunks, total)), lambda bases: F.flatten(F.transform(chunks, lambda c, i: F.transform(F.slice(running(c), 2, _CHUNK), lambda x: x + F.get(bases, i)))))
+        return let(running(F.transform(chunks, total)), lambda bases: F.flatten(F.transform(chunks, lambda c, i: F.transform(F.slice(running(c), 2, _CHUNK), lambda x: join(x, F.get(bases, i))))))
 
     chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / _CHUNK).cast("int")), lambda i: F.slice(numbers, i * _CHUNK + 1, F.lit(_CHUNK)))
     return F.concat(F.array(zero), F.when(F.size(numbers) == 0, F.array().cast("array<bigint>")).otherwise(let(chunks, chunked)))
 
 
+def _plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _later(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
 _SPAN = "array<struct<start:bigint,end:bigint,kind:int,text:string>>"
 
 
@@ -76,7 +87,7 @@ def pattern_spans(text: Column, kind: str, pattern: str, group: int = 0) -> Colu
             F.transform(hits, lambda x, i: F.struct(F.get(ends, 2 * i + 1).alias("start"), F.get(ends, 2 * i + 2).alias("end"), F.when(F.get(sized, i) >= LEAST[kind], F.lit(KINDS.index(kind))).alias("kind"), x.alias("text"))),
             lambda x: x["kind"].isNotNull(),
         )
-        return let(prefix_sums(steps(hits)), lambda ends: let(sizes, lambda sized: placed(ends, sized)))
+        return let(prefix_scan(steps(hits), _plus), lambda ends: let(sizes, lambda sized: placed(ends, sized)))
 
     found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)
     return F.when(text.rlike(HINTS[kind]), found.cast(_SPAN)).otherwise(F.array().cast(_SPAN))
@@ -123,26 +134,40 @@ def mean_ratio(token: Column, model: list[float]) -> Column:
     return F.when(F.char_length(token) < 2, F.lit(0.0)).otherwise(let(codes, total) / (F.char_length(token) - 1))
 
 
-def markov_spans(text: Column, model: list[float], threshold: float = THRESHOLD) -> Column:
-    tokens = pattern_spans(text, "markov", TOKEN)
-    # both letters and figures: without figures a token is a word, however odd
-    mixed = F.filter(tokens, lambda x: x["text"].rlike("[0-9]") & x["text"].rlike("[A-Za-z]"))
-    return F.filter(mixed, lambda x: mean_ratio(x["text"], model) > threshold)
+def markov_spans(text: Column, model: list[float], threshold: float = THRESHOLD, threshold_letters: float = THRESHOLD_LETTERS) -> Column:
+    """Tokens that the models call random. Without figures a token has to be clearer: long words and paths are mostly letters."""
+    tokens = F.filter(pattern_spans(text, "markov", TOKEN), lambda x: x["text"].rlike("[A-Za-z]"))
+    return F.filter(tokens, lambda x: mean_ratio(x["text"], model) > F.when(x["text"].rlike("[0-9]"), threshold).otherwise(threshold_letters))
+
+
+def _clear_of(spans: Column, known: Column) -> Column:
+    """``spans`` that overlap none of ``known``, which is sorted by start: a binary search for each."""
+
+    def against(starts: Column, ends: Column) -> Column:
+        def before(end: Column) -> Column:  # how many of ``known`` start before ``end``
+            return F.aggregate(F.sequence(F.lit(27), F.lit(0), F.lit(-1)), F.lit(0), lambda at, bit: let(at + F.call_function("shiftleft", F.lit(1), bit), lambda to: F.when(F.get(starts, to - 1) < end, to).otherwise(at)))
 
+        return F.filter(spans, lambda x: F.get(ends, before(x["end"])) <= x["start"])
 
-def with_spans(docs: DataFrame, model: list[float] | None = None, text: str = "text") -> DataFrame:
-    """``docs`` with arrays of spans: ``base_spans`` by the patterns and ``all_spans`` with those of the models, by start and kind."""
+    return let(F.transform(known, lambda x: x["start"]), lambda starts: let(prefix_scan(F.transform(known, lambda x: x["end"]), _later), lambda ends: against(starts, ends)))
+
+
+def with_spans(docs: DataFrame, model: list[float] | None = None, text: str = "text", base_name: str = "base_spans", all_name: str = "all_spans") -> DataFrame:
+    """``docs`` with two arrays of spans, by start and kind: those of the patterns, and with those of the models.
+
+    The two names must be new ones. Null and empty texts have empty arrays; repeated rows have equal ones; all columns are kept.
+    """
     model = model or log_ratios(labelled_strings(docs.sparkSession))
     value = text_of(docs, text)
     base = F.concat(pattern_spans(value, "assign", ASSIGN, 1), pattern_spans(value, "access", ACCESS), pattern_spans(value, "hex", HEX))
 
     def more(known: Column) -> Column:
-        clear = lambda x: ~F.exists(known, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-        found = F.when(value.rlike(HINTS["markov"]), F.filter(markov_spans(value, model), clear)).otherwise(F.array().cast(_SPAN))
+        found = F.when(value.rlike(HINTS["markov"]), let(markov_spans(value, model), lambda m: F.when(F.size(m) == 0, m).otherwise(_clear_of(m, known)))).otherwise(F.array().cast(_SPAN))
         return F.struct(known.alias("base"), _by_start_and_kind(F.concat(known, found)).alias("all"))
 
-    both = docs.withColumn("_spans", let(_by_start_and_kind(base), more))
-    return both.withColumn("base_spans", F.col("_spans.base")).withColumn("all_spans", F.col("_spans.all")).drop("_spans")
+    (both,) = unused([*docs.columns, base_name, all_name], "spans")
+    found = docs.select("*", let(_by_start_and_kind(base), more).alias(both))
+    return found.select(*map(column, docs.columns), F.col(both)["base"].alias(base_name), F.col(both)["all"].alias(all_name))
 
 
 def _by_start_and_kind(spans: Column) -> Column:
@@ -157,16 +182,25 @@ def joined(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """``text`` with each span replaced by ``mark``; overlapping spans become one mark."""
-    merged = F.aggregate(
-        spans,
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda acc, x: F.when(x["end"] <= acc["at"], acc)
-        .when(x["start"] < acc["at"], F.struct(x["end"].alias("at"), acc["out"].alias("out")))
-        .otherwise(F.struct(x["end"].alias("at"), F.concat(acc["out"], F.array(F.substring(text, acc["at"].cast("int") + 1, (x["start"] - acc["at"]).cast("int")), F.lit(mark))).alias("out"))),
-    )
-    whole = lambda m: F.concat(F.array_join(m["out"], ""), F.substring(text, m["at"].cast("int") + 1, F.char_length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(let(merged, whole))
+    """``text`` with each of ``spans``, sorted by start, replaced by ``mark``; overlapping spans become one mark.
+
+    Stretches between spans are put together from pieces of ``_PIECE`` characters, so that no span walks through the whole text.
+    """
+
+    def between(pieces: Column, start: Column, end: Column) -> Column:
+        first, last = F.floor(start / _PIECE).cast("int"), F.floor(end / _PIECE).cast("int")
+        piece = lambda i, at, n: F.coalesce(F.substring(F.get(pieces, i), (at + 1).cast("int"), n.cast("int")), F.lit(""))
+        inner = F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        apart = F.concat(piece(first, start % _PIECE, F.lit(_PIECE)), inner, piece(last, F.lit(0), end % _PIECE))
+        return F.when(first == last, piece(first, start % _PIECE, end - start)).otherwise(apart)
+
+    def whole(pieces: Column, until: Column) -> Column:
+        parts = F.transform(spans, lambda x, i: F.when(x["start"] >= F.get(until, i), F.concat(between(pieces, F.get(until, i), x["start"]), F.lit(mark))).otherwise(""))
+        return F.concat(F.array_join(parts, ""), between(pieces, F.element_at(until, -1), F.char_length(text).cast("long")))
+
+    ends = prefix_scan(F.transform(spans, lambda x: x["end"]), _later)
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+    return F.when(F.size(spans) == 0, text).otherwise(let(pieces, lambda p: let(ends, lambda e: whole(p, e))))
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
