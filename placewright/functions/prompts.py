@@ -25,6 +25,31 @@ def permutation(number: Column, items: list[str]) -> Column:
     return F.when((number >= 0) & (number < factorial(len(items))), ordered)
 
 
+def permutation_of_code(code: Column, items: Column) -> Column:
+    """The order of ``items`` (array of strings) by a code that says, for each place, which of the items left comes next, counted from 0.
+
+    Null if the code is shorter or longer than the items, or names one that is not there.
+    """
+    start = F.struct(F.array().cast("array<string>").alias("done"), items.alias("left"), F.lit(True).alias("fits"))
+
+    def take(state: Column, at: Column) -> Column:
+        left = state["left"]
+        fits = state["fits"] & (at >= 0) & (at < F.size(left))
+        return F.struct(
+            F.when(fits, F.concat(state["done"], F.slice(left, at + 1, F.lit(1)))).otherwise(state["done"]).alias("done"),
+            F.when(fits, F.concat(F.slice(left, F.lit(1), at), F.slice(left, at + 2, F.greatest(F.size(left) - at - 1, F.lit(0))))).otherwise(left).alias("left"),
+            fits.alias("fits"),
+        )
+
+    return F.aggregate(code, start, take, lambda s: F.when(s["fits"] & (F.size(s["left"]) == 0), s["done"]))
+
+
+def partial_permutation(included: Column, code: Column, items: Column) -> Column:
+    """The items that ``included`` (array of booleans) marks, in the order of ``code``; as they are where at most one is left."""
+    some = F.transform(F.filter(F.arrays_zip(items.alias("item"), included.alias("take")), lambda x: x["take"]), lambda x: x["item"])
+    return F.when(F.size(some) <= 1, some).otherwise(permutation_of_code(code, some))
+
+
 def item_list(items: Column) -> Column:
     """``- item`` lines of an array of strings."""
     return F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n")

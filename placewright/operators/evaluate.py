@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 METRICS = (
@@ -23,16 +23,37 @@ def cells(predictions: DataFrame, labels: DataFrame, key: str, fields: list[str]
     return both.select(key, F.explode(rows).alias("c")).select(key, "c.*")
 
 
-def micro_metrics(cell_rows: DataFrame, *groups: str | Column) -> DataFrame:
-    """Micro-averaged metrics of cells, for each group."""
+def map_cells(predictions: DataFrame, labels: DataFrame, key: str, fields: list[str], groups: list[str] | None = None, ignore_other_fields: bool = True) -> DataFrame:
+    """(groups, key, field, pred, label, present) from predictions (groups, key, prediction: map of strings).
+
+    A field that no prediction of a group has is absent there. Without ``ignore_other_fields``, what is predicted for fields that
+    ``labels`` lacks counts too: as predictions that are wrong by their length.
+    """
+    groups = groups or []
+    long = predictions.select(*groups, key, F.explode("prediction").alias("field", "pred"))
+    seen = long.where(F.col("field").isin(*fields)).select(*groups, "field").distinct().withColumn("present", F.lit(True))
+    asked = predictions.select(*groups, key).distinct()
+    label_rows = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("label")) for f in fields])
+    wanted = asked.join(labels, key).select(*groups, key, F.explode(label_rows).alias("c")).select(*groups, key, "c.*")
+    found = wanted.join(long, [*groups, key, "field"], "left").join(F.broadcast(seen), [*groups, "field"], "left")  # a row for each group and field
+    out = found.select(*groups, key, "field", "pred", "label", F.coalesce("present", F.lit(False)).alias("present"))
+    if ignore_other_fields:
+        return out
+    other = long.where(~F.col("field").isin(*labels.columns) & F.col("pred").isNotNull())
+    return out.unionByName(other.select(*groups, key, "field", "pred", F.lit(None).cast("string").alias("label"), F.lit(False).alias("present")))
+
+
+def micro_metrics(cell_rows: DataFrame, *groups: str, sets: list[list[str]] | None = None) -> DataFrame:
+    """Micro-averaged metrics of cells, for each group; with ``sets``, for each of these sets of the group columns, others null."""
     p, lab = F.coalesce("pred", F.lit("")), F.coalesce("label", F.lit(""))
     d = F.levenshtein(F.lower(p), F.lower(lab))
     longest = F.greatest(F.char_length(p), F.char_length(lab))
-    rows = cell_rows.withColumn("d", F.when(F.col("present"), d).otherwise(F.char_length(lab))).withColumn("longest", longest)
+    rows = cell_rows.withColumn("longest", longest).withColumn("d", F.when(F.col("present"), d).otherwise(F.col("longest")))
     rows = rows.withColumn("sim", F.when(~F.col("present"), F.lit(None).cast("double")).when(F.col("longest") == 0, 1.0).otherwise((F.col("longest") - F.col("d")) / F.col("longest")))
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
     here, hit = F.col("present"), F.col("sim") > 0
-    sums = rows.groupBy(*groups).agg(
+    grouped = rows.groupBy(*groups) if sets is None else rows.groupingSets([[F.col(c) for c in s] for s in sets], *groups)
+    sums = grouped.agg(
         F.count("*").alias("n"), *[count(here & (F.col("d") <= k)).alias(f"_a{k}") for k in range(5)],
         count(here & (F.col("d") == 0) & F.col("pred").isNotNull() & F.col("label").isNotNull()).alias("_tp"),
         count(F.col("pred").isNotNull()).alias("_np"), count(F.col("label").isNotNull()).alias("_nl"), F.sum("d").alias("_d"), F.coalesce(F.sum("sim"), F.lit(0.0)).alias("_s"),
@@ -49,6 +70,58 @@ def micro_metrics(cell_rows: DataFrame, *groups: str | Column) -> DataFrame:
     return out.select(*groups, "n", *METRICS)
 
 
+def config_metrics(configs: DataFrame, predictions: DataFrame, labels: DataFrame, key: str, fields: list[str], total: int) -> DataFrame:
+    """Metrics of each configuration, with seconds, rows a second, the estimated time for ``total`` rows, errors and their rate.
+
+    configs: config_name, deltatime; predictions: config_name, key, prediction (map), error. A configuration without predictions has
+    failed as a whole: all rows are errors, the rate is 1, and metrics are null.
+    """
+    rows = labels.agg(F.count("*").alias("rows"))  # one row
+    errors = predictions.groupBy("config_name").agg(F.count("error").alias("error"))
+    metrics = micro_metrics(map_cells(predictions, labels, key, fields, ["config_name"]), "config_name")
+    out = configs.join(metrics, "config_name", "left").join(errors, "config_name", "left").join(F.broadcast(rows))
+    rate = F.when(F.col("n").isNotNull(), F.col("rows") / F.col("deltatime"))
+    failed = F.col("n").isNull()
+    return out.select(
+        "config_name", "n", *METRICS, "deltatime", rate.alias("rate"), (F.lit(float(total)) / rate).alias("estimated_total_time"),
+        F.when(failed, F.col("rows")).otherwise(F.col("error")).alias("error"), F.when(failed, 1.0).otherwise(F.col("error") / F.col("rows")).alias("error_rate"),
+    )
+
+
+def fold_metrics(cell_rows: DataFrame, fold: str = "fold_idx", model: str = "model", part: str | None = None) -> DataFrame:
+    """(model, part, metric, mean, std) over folds: ``part`` is ``all``, each field, and each value of the column ``part``."""
+    every = [F.struct(F.lit("all").alias("part")), F.struct(F.concat(F.lit("entity:"), F.col("field")).alias("part"))]
+    if part is not None:
+        every.append(F.struct(F.concat(F.lit("field:"), F.col(part)).alias("part")))
+    cut = cell_rows.withColumn("_p", F.explode(F.array(*every))).withColumn("part", F.col("_p.part")).where("part is not null")
+    per_fold = micro_metrics(cut, model, fold, "part")
+    values = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS])
+    long = per_fold.select(model, "part", F.explode(values).alias("m")).select(model, "part", "m.*")
+    return long.groupBy(model, "part", "metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+
+
+def subset_metrics(cell_rows: DataFrame, subsets: dict[str, list[str]], *groups: str) -> DataFrame:
+    """Metrics of each named subset of the fields, such as required ones, city and country, or all."""
+    inside = F.array(*[F.when(F.col("field").isin(*fields), F.lit(name)) for name, fields in subsets.items()])
+    cut = cell_rows.withColumn("subset", F.explode(F.filter(inside, lambda s: s.isNotNull())))
+    return micro_metrics(cut, *groups, "subset")
+
+
+def alignment_counts(rows: DataFrame, text: str, fields: list[str], spans: str) -> DataFrame:
+    """(examples, skipped, not_aligned): rows with spans, rows without a text or a span, and field values that no span was found for."""
+    given = F.array(*[F.when(F.trim(F.coalesce(F.col(f), F.lit(""))) != "", F.lit(f)) for f in fields])
+    empty = F.coalesce(F.col(text), F.lit("")) == ""
+    missing = F.size(F.array_except(F.filter(given, lambda f: f.isNotNull()), F.transform(spans, lambda s: s["label"])))
+    none = empty | (F.size(spans) == 0)
+    return rows.agg(F.sum((~none).cast("long")).alias("examples"), F.sum(none.cast("long")).alias("skipped"), F.sum(F.when(empty, 0).otherwise(missing)).alias("not_aligned"))
+
+
+def summary(df: DataFrame, columns: list[str], *groups: str) -> DataFrame:
+    """(n, sum, mean, min, max) over all numbers of the columns together, without nulls and NaN; the mean of none is null."""
+    cells_of = df.select(*groups, F.explode(F.array(*[F.col(c).cast("double") for c in columns])).alias("x")).where("x is not null and not isnan(x)")
+    return cells_of.groupBy(*groups).agg(F.count("x").alias("n"), F.sum("x").alias("sum"), F.avg("x").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"))
+
+
 def span_scores(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """True and false positives and false negatives of spans (row, start, end, label), by label and overall (null label)."""
     keys = ["row", "start", "end", "label"]

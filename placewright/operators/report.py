@@ -40,6 +40,29 @@ def inclusion_gain(df: DataFrame, group: str, included: str, value: str) -> Data
     return df.groupBy(group).agg((F.median(F.when(F.col(included), F.col(value))) - F.median(F.when(~F.col(included), F.col(value)))).alias("gain"))
 
 
+def best_flags(df: DataFrame, higher: list[str], lower: list[str], digits: int = 2, *groups: str) -> DataFrame:
+    """``df`` with ``<metric>_best``: whether the metric, rounded as a table shows it, is the best of its column (of its group)."""
+    w = Window.partitionBy(*(groups or [F.lit(1)]))
+    best = {f"{m}_best": F.coalesce(F.round(m, digits) == f(F.round(m, digits)).over(w), F.lit(False)) for ms, f in ((higher, F.max), (lower, F.min)) for m in ms}
+    return df.withColumns(best)
+
+
+def best_configs(df: DataFrame, family: str, higher: list[str], lower: list[str]) -> DataFrame:
+    """Rows that are best of their family, or of all, in some metric."""
+    w = Window.partitionBy(family)
+    best = F.lit(False)
+    for metrics, f in ((higher, F.max), (lower, F.min)):
+        for m in metrics:
+            best = best | (F.col(m) == f(m).over(w))  # the best of all is the best of its family
+    return df.withColumn("_best", best).where("_best").drop("_best")
+
+
+def top_studies(df: DataFrame, study: str, scores: list[str], k: int) -> DataFrame:
+    """The ``k`` studies whose best trial is greatest, scores compared one after the other; ties to the smaller name."""
+    best = df.groupBy(study).agg(F.max(F.struct(*scores)).alias("best"))
+    return best.orderBy(F.desc("best"), study).limit(k).select(study, "best.*")
+
+
 def mean_with_deviation(mean: str, deviation: str, digits: int = 2):
     return F.format_string(f"%.{digits}f±%.{digits}f", F.col(mean), F.col(deviation))
 

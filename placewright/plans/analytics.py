@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluate as E
 from ..operators import gazetteer as G
 from ..operators import report as R
+from ..operators import reshape as S
 from ..operators import retrieve as K
 from .linking import NOISY
 from .tables import table
@@ -57,11 +58,12 @@ SELECT parent, level::BIGINT AS level, count(*) AS children FROM l GROUP BY ALL
 
 
 def anti_except_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
-    return customers.join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), "id", "left_anti").distinct()
+    """Customers without a finished order."""
+    finished = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id"))
+    return G.unlinked(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).distinct(), finished)
 
 
-EXCEPT_SQL = "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders"
+EXCEPT_SQL = "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'"
 
 
 def upsert_bool_or(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,23 +101,26 @@ def field_eval_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(E.micro_metrics(_cells(spark, sf_dir), "field"))
 
 
-_EVAL = f"""
-WITH c AS (
-    SELECT 'name' AS field, {NOISY} AS pred, p_name AS label, true AS present FROM part
-    UNION ALL SELECT 'brand', CASE WHEN p_size > 5 THEN p_brand END, CASE WHEN p_size > 10 THEN p_brand END, true FROM part
-    UNION ALL SELECT 'type', NULL, p_type, false FROM part),
-r AS (SELECT *, CASE WHEN present THEN levenshtein(lower(coalesce(pred, '')), lower(coalesce(label, ''))) ELSE length(coalesce(label, '')) END AS d,
-    greatest(length(coalesce(pred, '')), length(coalesce(label, ''))) AS l FROM c),
-s AS (SELECT *, CASE WHEN NOT present THEN NULL WHEN l = 0 THEN 1.0 ELSE (l - d)::DOUBLE / l END AS sim FROM r),
-a AS (SELECT {{0}}count(*) AS n, count(*) FILTER (present AND d <= 0)::DOUBLE AS a0, count(*) FILTER (present AND d <= 1)::DOUBLE AS a1, count(*) FILTER (present AND d <= 2)::DOUBLE AS a2,
+#: Metrics of cells: ``cells`` gives field, pred, label, present and the columns of ``by``.
+EVAL = """
+WITH c AS ({cells}),
+r AS (SELECT *, greatest(length(coalesce(pred, '')), length(coalesce(label, ''))) AS l FROM c),
+e AS (SELECT *, CASE WHEN present THEN levenshtein(lower(coalesce(pred, '')), lower(coalesce(label, ''))) ELSE l END AS d FROM r),
+s AS (SELECT *, CASE WHEN NOT present THEN NULL WHEN l = 0 THEN 1.0 ELSE (l - d)::DOUBLE / l END AS sim FROM e),
+a AS (SELECT {by}count(*) AS n, count(*) FILTER (present AND d <= 0)::DOUBLE AS a0, count(*) FILTER (present AND d <= 1)::DOUBLE AS a1, count(*) FILTER (present AND d <= 2)::DOUBLE AS a2,
     count(*) FILTER (present AND d <= 3)::DOUBLE AS a3, count(*) FILTER (present AND d <= 4)::DOUBLE AS a4, count(*) FILTER (present AND d = 0 AND pred IS NOT NULL AND label IS NOT NULL)::DOUBLE AS tp,
-    count(pred)::DOUBLE AS np, count(label)::DOUBLE AS nl, sum(d)::DOUBLE AS d, coalesce(sum(sim), 0)::DOUBLE AS sim, count(*) FILTER (sim > 0)::DOUBLE AS hit, coalesce(sum(d) FILTER (present), 0)::DOUBLE AS dm FROM s {{1}}),
-b AS (SELECT *, CASE WHEN np = 0 THEN 0.0 ELSE tp / np END AS p, CASE WHEN nl = 0 THEN 0.0 ELSE tp / nl END AS r FROM a)
-SELECT {{0}}n, round(a0 / n, 6) AS accuracy, round(a1 / n, 6) AS accuracy_with_tol_1, round(a2 / n, 6) AS accuracy_with_tol_2, round(a3 / n, 6) AS accuracy_with_tol_3, round(a4 / n, 6) AS accuracy_with_tol_4,
-    round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END, 6) AS f1, round(d / n, 6) AS average_levenshtein, round(sim / n, 6) AS average_similarity,
-    round(CASE WHEN hit = 0 THEN 0.0 ELSE dm / hit END, 6) AS average_levenshtein_match, round(CASE WHEN hit = 0 THEN 0.0 ELSE sim / hit END, 6) AS average_similarity_match, round(1 - hit / n, 6) AS no_match_rate FROM b
+    count(pred)::DOUBLE AS np, count(label)::DOUBLE AS nl, sum(d)::DOUBLE AS d, coalesce(sum(sim), 0)::DOUBLE AS sim, count(*) FILTER (sim > 0)::DOUBLE AS hit, coalesce(sum(d) FILTER (present), 0)::DOUBLE AS dm FROM s {group}),
+b AS (SELECT *, CASE WHEN np = 0 THEN 0.0 ELSE tp / np END AS p, CASE WHEN nl = 0 THEN 0.0 ELSE tp / nl END AS r FROM a),
+m AS (SELECT {by}n, a0 / n AS accuracy, a1 / n AS accuracy_with_tol_1, a2 / n AS accuracy_with_tol_2, a3 / n AS accuracy_with_tol_3, a4 / n AS accuracy_with_tol_4,
+    p AS precision, r AS recall, CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END AS f1, d / n AS average_levenshtein, sim / n AS average_similarity,
+    CASE WHEN hit = 0 THEN 0.0 ELSE dm / hit END AS average_levenshtein_match, CASE WHEN hit = 0 THEN 0.0 ELSE sim / hit END AS average_similarity_match, 1 - hit / n AS no_match_rate FROM b)
 """
-MICRO_SQL, FIELD_SQL = _EVAL.format("", ""), _EVAL.format("field, ", "GROUP BY field")
+ALL_METRICS = ", ".join(f"round({m}, 6) AS {m}" for m in E.METRICS)
+CELLS = f"""SELECT p_partkey, 'name' AS field, {NOISY} AS pred, p_name AS label, true AS present FROM part
+    UNION ALL SELECT p_partkey, 'brand', CASE WHEN p_size > 5 THEN p_brand END, CASE WHEN p_size > 10 THEN p_brand END, true FROM part
+    UNION ALL SELECT p_partkey, 'type', NULL, p_type, false FROM part"""
+MICRO_SQL = EVAL.format(cells=CELLS, by="", group="") + f"SELECT n, {ALL_METRICS} FROM m"
+FIELD_SQL = EVAL.format(cells=CELLS, by="field, ", group="GROUP BY field") + f"SELECT field, n, {ALL_METRICS} FROM m"
 
 
 def span_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,9 +147,7 @@ FOLD_SQL = "SELECT lang, round(avg(q), 6) AS quality_mean, round(stddev_samp(q),
 
 
 def pivot_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    counts = d.rollup("source").agg(*[F.count(F.when(F.col("lang") == x, 1)).alias(x) for x in ("en", "fr", "de", "es")], F.count("*").alias("total"))
-    return counts.withColumn("source", F.coalesce("source", F.lit("Total")))
+    return S.split_counts(table(spark, sf_dir, "documents"), "source", "lang", ["en", "fr", "de", "es"])
 
 
 PIVOT_SQL = "SELECT coalesce(source, 'Total') AS source, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'fr') AS fr, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'es') AS es, count(*) AS total FROM documents GROUP BY ROLLUP (source)"
@@ -182,7 +185,7 @@ def left_join_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pred.join(true, "p_name", "left").select("p_name", "size_pred", "size_true", pairs.alias("cnt"))
 
 
-SUFFIX_SQL = "SELECT p_name, x.p_size AS size_pred, y.p_size AS size_true, count(*) AS cnt FROM (SELECT * FROM part WHERE p_size < 5) x LEFT JOIN (SELECT p_name, p_size FROM part WHERE p_size > 45) y USING (p_name) GROUP BY ALL"
+SUFFIX_SQL = "SELECT p_name, x.p_size AS size_pred, y.p_size AS size_true, count(*) AS cnt FROM part x LEFT JOIN (SELECT p_name, p_size FROM part) y USING (p_name) GROUP BY ALL"
 
 
 def best_per_family(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,7 +232,7 @@ def _hits(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     examples = e.select(F.col("vec_id").alias("example_id"), F.col("embedding").alias("e"))
-    return K.nearest(queries, examples, k, K.cosine, itself=False)
+    return K.nearest_vectors(queries, examples, k, itself=False)
 
 
 def knn_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,7 +241,7 @@ def knn_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _KNN = """
 WITH h AS (SELECT q.vec_id AS query_id, e.vec_id AS example_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score
-    FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND e.vec_id % 100 <> 0),
+    FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, example_id) AS rank FROM h)
 """
 KNN_SQL = _KNN + "SELECT query_id, example_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5"
@@ -263,7 +266,7 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 HYBRID_SQL = """
 WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, round(embedding[1]::DOUBLE, 6) AS x FROM embeddings),
-h AS (SELECT q.vec_id AS query_id, e.vec_id AS example_id, list_cosine_similarity(q.v, e.v) AS a, CASE WHEN q.label = e.label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END - abs(q.x - e.x) AS b FROM e q, e WHERE q.vec_id % 100 = 0 AND e.vec_id % 100 <> 0),
+h AS (SELECT q.vec_id AS query_id, e.vec_id AS example_id, list_cosine_similarity(q.v, e.v) AS a, CASE WHEN q.label = e.label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END - abs(q.x - e.x) AS b FROM e q, e WHERE q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id),
 pools AS (SELECT query_id, example_id, a AS score, 0 AS source FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY a DESC, example_id) <= 4
     UNION ALL SELECT query_id, example_id, b, 1 FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY b DESC, example_id) <= 4),
 once AS (SELECT * FROM pools QUALIFY row_number() OVER (PARTITION BY query_id, example_id ORDER BY source) = 1),
