@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import abbreviation_pattern, byte_distance, clean_key, strip_accents
+from ..sources.shared import stored
 
 #: Clean queries up to this length are matched by deletions, longer ones by segments.
 SHORT = 10
@@ -34,20 +35,20 @@ def deletions(x: Column, most: int) -> Column:
     return every
 
 
-def _segment(length: Column, parts: int, i: int) -> tuple[Column, Column]:
+def _segment(length: Column, parts: int, i: Column) -> tuple[Column, Column]:
     """(start from 0, size) of the ``i``-th of ``parts`` nearly equal segments of a string; the last ones are a character longer."""
     size, longer = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    before = F.greatest(longer + F.lit(i - parts), F.lit(0))
-    return size * i + before, size + F.when(F.lit(i) >= F.lit(parts) - longer, 1).otherwise(0)
+    return size * i + F.greatest(longer + i - parts, F.lit(0)), size + F.when(i >= F.lit(parts) - longer, 1).otherwise(0)
 
 
 def segments(x: Column, threshold: int) -> Column:
     """(length of ``x``, number, text) of ``threshold`` + 1 segments of ``x``: edits that few leave one of them whole."""
-    out = []
-    for i in range(threshold + 1):
+
+    def cut(i: Column) -> Column:
         start, size = _segment(F.char_length(x), threshold + 1, i)
-        out.append(F.struct(F.char_length(x).alias("l"), F.lit(i).alias("i"), F.substring(x, start + 1, size).alias("s")))
-    return F.array(*out)
+        return F.struct(F.char_length(x).alias("l"), i.alias("i"), F.substring(x, start + 1, size).alias("s"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(threshold)), cut)
 
 
 def segment_keys(x: Column, threshold: int) -> Column:
@@ -55,16 +56,20 @@ def segment_keys(x: Column, threshold: int) -> Column:
 
     A segment that is shared at a shift costs as many edits before it, and behind it the shift's difference to that of the lengths.
     """
-    out = []
-    for longer in range(-threshold, threshold + 1):  # how much longer ``x`` is than the name
+    half = lambda c: F.floor(c / 2).cast("int")
+
+    def of_length(longer: Column) -> Column:  # how much longer ``x`` is than the name
         length = F.char_length(x) - longer
-        for i in range(threshold + 1):
+
+        def of_segment(i: Column) -> Column:
             start, size = _segment(length, threshold + 1, i)
-            for shift in range(-((threshold - longer) // 2), (threshold + longer) // 2 + 1):
-                at = start + shift
-                fits = (length > threshold) & (at >= 0) & (at + size <= F.char_length(x))
-                out.append(F.when(fits, F.struct(length.alias("l"), F.lit(i).alias("i"), F.substring(x, at + 1, size).alias("s"))))
-    return F.array_distinct(F.filter(F.array(*out), lambda k: k.isNotNull()))
+            shifts = F.sequence(-half(F.lit(threshold) - longer), half(F.lit(threshold) + longer))
+            some = F.filter(shifts, lambda s: (length > threshold) & (start + s >= 0) & (start + s + size <= F.char_length(x)))
+            return F.transform(some, lambda s: F.struct(length.alias("l"), i.alias("i"), F.substring(x, start + s + 1, size).alias("s")))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(threshold)), of_segment))
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(-threshold), F.lit(threshold)), of_length)))
 
 
 def fuzzy_pairs(queries: DataFrame, names: DataFrame, threshold: int) -> DataFrame:
@@ -160,7 +165,8 @@ def link(
 
     asked = queries.where(F.trim("text") != "").select("text", "hint").distinct()
     asked = asked.withColumn("query_id", F.struct("text", "hint")).withColumn("clean", clean_key(F.col("text"))).where(F.trim("clean") != "")
-    full = _matches(asked, whole(names), threshold, reduced_tier)
+    asked = stored(asked, "link-queries")  # met by every tier
+    full = stored(_matches(asked, whole(names), threshold, reduced_tier), "link-matches")
     if any_type is not None:
         rest = asked.join(full.select("query_id").distinct(), "query_id", "left_anti")
         full = full.unionByName(_matches(rest, whole(any_type), threshold, False).withColumn("tier", F.lit(7)))

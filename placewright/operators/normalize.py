@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import city_and_country
+from ..sources.shared import stored
 from .link import link, status
 
 #: The place fields of a record and their prefixes, and the statuses that a part can get.
@@ -29,7 +30,7 @@ def corrected(records: DataFrame, names: DataFrame, key: str = "filename", thres
     A linked country is the hint for its city. names: name_id, entity_id, name, country, kind (Country, City or others); without ``by_kind``
     countries and cities are looked for among names of all kinds.
     """
-    long = places(records, key).withColumn("_q", F.concat_ws("|", F.col(key), "field"))
+    long = stored(places(records, key).withColumn("_q", F.concat_ws("|", F.col(key), "field")), "places")
 
     def solve(part: str, kind: str, hints: DataFrame | None) -> DataFrame:
         asked = long.select(F.col("_q").alias("query_id"), F.col(part).alias("text"), "raw")
@@ -38,7 +39,7 @@ def corrected(records: DataFrame, names: DataFrame, key: str = "filename", thres
         pool = names.where(F.col("kind") == kind) if by_kind else names
         return status(link(asked, pool.drop("kind"), threshold, reduced_tier=kind != "Country"), asked, threshold)
 
-    countries = solve("country", "Country", None)
+    countries = stored(solve("country", "Country", None), "countries")
     hint = countries.where("matched_country is not null").select("query_id", F.array("matched_country").alias("hint"))
     cities = solve("city", "City", hint)
 

@@ -141,7 +141,7 @@ def few_shot(queries: DataFrame, hits: DataFrame, examples: DataFrame, threshold
     included = F.lit(True) if threshold is None else F.col("score") >= threshold
     full = hits.join(examples, "example_id")
     shot = F.struct("rank", F.col("score").cast("double").alias("score"), F.col("example_id").cast("string").alias("example_id"), "address", "labels", source.alias("source"), included.alias("included"))
-    found = full.groupBy("query_id").agg(F.array_sort(F.collect_list(shot)).cast(f"array<{SHOT}>").alias("shots"))  # k rows of a query
+    found = full.groupBy("query_id").agg(F.array_sort(F.collect_list(shot), lambda a, b: (a["rank"] - b["rank"]).cast("int")).cast(f"array<{SHOT}>").alias("shots"))  # k rows of a query
     return queries.select("query_id").join(found, "query_id", "left").select("query_id", F.coalesce("shots", F.array().cast(f"array<{SHOT}>")).alias("shots"))
 
 
