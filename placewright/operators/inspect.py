@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from itertools import product
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .report import exact_quantiles
+
 
 def three_way(prediction: Column, label: Column) -> Column:
     """``correct``, ``wrong``, ``missed`` (a label without prediction) or ``extra``; null where both are missing. Empty is missing."""
@@ -31,9 +35,29 @@ def throughput(df: DataFrame, seconds: Column, failed: Column, of_all: int, *gro
 
 def spread(df: DataFrame, group: str, value: str) -> DataFrame:
     """(group, low, q1, median, q3, high): exact interpolated quartiles, as a box plot shows them."""
-    q = F.expr(f"percentile(`{value}`, array(0.25D, 0.5D, 0.75D))")
-    found = df.groupBy(group).agg(F.min(value).alias("low"), q.alias("q"), F.max(value).alias("high"))
-    return found.select(group, "low", *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))], "high")
+    names = {0.0: "low", 0.25: "q1", 0.5: "median", 0.75: "q3", 1.0: "high"}
+    found = exact_quantiles(df, group, value, list(names))
+    return found.groupBy(group).agg(*[F.max(F.when(F.col("share") == s, F.col("quantile"))).alias(n) for s, n in names.items()])
+
+
+def turns(df: DataFrame, key: str, conversation: str) -> DataFrame:
+    """(key, turn, role, content) of stored conversations, JSON lists of messages."""
+    messages = F.from_json(conversation, "array<struct<role:string,content:string>>")
+    return df.select(key, F.posexplode(messages).alias("turn", "m")).select(key, "turn", "m.role", "m.content")
+
+
+def split_fold(df: DataFrame, fold: int, name: str = "fold_idx") -> tuple[DataFrame, DataFrame]:
+    """(train, validation) of a fold: all other folds, and the fold."""
+    return df.where(F.col(name) != fold), df.where(F.col(name) == fold)
+
+
+def config_grid(spark: SparkSession, axes: dict[str, list[str]], template: str) -> DataFrame:
+    """(config_name, one column for each axis): all combinations of a few choices; names by ``template`` must be unique."""
+    rows = [dict(zip(axes, values, strict=True)) for values in product(*axes.values())]
+    names = [template % r for r in rows]
+    if len(set(names)) < len(names):
+        raise ValueError("configurations with one name")
+    return spark.createDataFrame([(n, *r.values()) for n, r in zip(names, rows, strict=True)], ["config_name", *axes])
 
 
 def example_scores(df: DataFrame, examples: str, *groups: str) -> DataFrame:

@@ -35,9 +35,37 @@ def cumulative_max(df: DataFrame, group: str, order: list[str], value: str, name
     return df.withColumn(name, F.max(value).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def exact_quantiles(df: DataFrame, group: str, value: str, shares: list[float], accuracy: int = 10_000) -> DataFrame:
+    """(group, share, quantile): exact interpolated quantiles, without holding a group's values in one task.
+
+    Approximate quantiles, off by a known number of ranks, bracket each of them; what lies below is counted, and only the few values
+    within the bracket are put in order. Nulls take no part.
+    """
+    rows = df.select(group, F.col(value).cast("double").alias("_v")).where("_v is not null")
+    edge = 3.0 / accuracy
+    probes = [min(max(p, 0.0), 1.0) for s in shares for p in (s - edge, s + edge)]
+    bounds = rows.groupBy(group).agg(F.count("*").alias("_n"), F.percentile_approx("_v", probes, accuracy).alias("_b"))
+    inf = F.lit(float("inf"))
+    each = [F.struct(F.lit(s).alias("share"), (-inf if s <= edge else F.col("_b")[2 * i]).alias("lo"), (inf if s >= 1 - edge else F.col("_b")[2 * i + 1]).alias("hi")) for i, s in enumerate(shares)]
+    asked = bounds.select(group, "_n", F.explode(F.array(*each)).alias("a")).select(group, "_n", "a.*")
+    met = rows.join(asked.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g")))
+    below = met.groupBy(group, "share").agg(F.count(F.when(F.col("_v") < F.col("lo"), 1)).alias("_below"), F.first("_n").alias("_n"))
+    inside = met.where((F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi"))).groupBy(group, "share", "_v").agg(F.count("*").alias("_c"))
+    order = Window.partitionBy(group, "share").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = inside.withColumn("_upto", F.sum("_c").over(order)).withColumnsRenamed({group: "_g", "share": "_s"})
+    both = below.join(placed, F.col(group).eqNullSafe(F.col("_g")) & (F.col("share") == F.col("_s")))
+    rank = (F.col("_n") - 1) * F.col("share")
+    at = lambda r: F.min(F.when(F.col("_below") + F.col("_upto") > r, F.col("_v")))
+    found = both.groupBy(group, "share").agg(at(F.floor(rank)).alias("_lo"), at(F.ceil(rank)).alias("_hi"), F.first(rank - F.floor(rank)).alias("_f"))
+    return found.select(group, "share", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("quantile"))
+
+
 def inclusion_gain(df: DataFrame, group: str, included: str, value: str) -> DataFrame:
-    """(group, gain): median with less median without."""
-    return df.groupBy(group).agg((F.median(F.when(F.col(included), F.col(value))) - F.median(F.when(~F.col(included), F.col(value)))).alias("gain"))
+    """(group, gain): median with less median without; null where one of them has no values."""
+    keyed = df.where(F.col(included).isNotNull()).select(F.struct(F.col(group).alias("g"), F.col(included).alias("i")).alias("_k"), value)
+    median = exact_quantiles(keyed, "_k", value, [0.5])
+    some = median.groupBy(F.col("_k.g").alias(group)).agg(F.max(F.when(F.col("_k.i"), F.col("quantile"))).alias("_a"), F.max(F.when(~F.col("_k.i"), F.col("quantile"))).alias("_b"))
+    return some.select(group, (F.col("_a") - F.col("_b")).alias("gain"))
 
 
 def best_flags(df: DataFrame, higher: list[str], lower: list[str], digits: int = 2, *groups: str) -> DataFrame:
