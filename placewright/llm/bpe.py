@@ -31,13 +31,13 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_of
+from .common import WordCache, documents, text_of
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Bytes of a word from which it is long; words that are contracted at once, and positions; texts and characters that are handled at once.
 LONG, AT_ONCE, ROWS_AT_ONCE, TEXTS_AT_ONCE, CHARS_AT_ONCE = 256, 20_000, 250_000, 500, 1 << 20
-#: Bytes that a worker's cache of words takes at most, about, and bytes of an entry beside its characters and ids.
-CACHE_BYTES, ENTRY_BYTES = 64 << 20, 190
+#: Bytes that a worker's cache of words takes at most, about.
+CACHE_BYTES = 128 << 20
 
 # Texts of these characters are split alike by this pattern and by the tokenizer's.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-ſ]*")
@@ -135,8 +135,7 @@ class Codec:
         vocabulary = pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "bytes": [t.decode("latin-1") for t in self.ranks]})  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
-        self.known: dict[str, bytes] = {}
-        self.held, self.cache_bytes = 0, cache_bytes
+        self.cache = WordCache(cache_bytes, self._ids_of)
 
     def _contracted(self, words: list[bytes], query: str) -> list[bytes]:
         w, p, t, q, u = (array("i") for _ in range(5))
@@ -174,7 +173,7 @@ class Codec:
             at = to
         return b"".join(out)
 
-    def _ids_of(self, words: set[str]) -> dict[str, bytes]:
+    def _ids_of(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words: tokens are their own, others are contracted, words of like length together."""
         found: dict[str, bytes] = {}
         others: list[tuple[int, str, bytes]] = []
@@ -194,25 +193,13 @@ class Codec:
             at += len(part)
         return found
 
-    def _learn(self, wanted: set[str]) -> None:
-        fresh = wanted.difference(self.known)
-        if not fresh:
-            return
-        if self.held + sum(map(len, fresh)) + ENTRY_BYTES * len(fresh) > self.cache_bytes:  # the cache starts anew before it would outgrow its bytes
-            self.known.clear()
-            self.held, fresh = 0, wanted
-        found = self._ids_of(fresh)
-        self.held += sum(map(len, found)) + sum(map(len, found.values())) + ENTRY_BYTES * len(found)
-        self.known.update(found)
-
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, in order. What is held at once is bounded by ``CHARS_AT_ONCE`` and the longest word."""
         waiting: list[list[str]] = []
         chars = 0
 
         def ready() -> Iterator[bytes]:
-            self._learn(set(chain.from_iterable(waiting)))
-            look = self.known.__getitem__
+            look = self.cache.of(set(chain.from_iterable(waiting))).__getitem__
             return (b"".join(map(look, words)) for words in waiting)
 
         for text in texts:

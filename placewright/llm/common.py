@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,6 +103,36 @@ def joined_by_frequency(rows: DataFrame, known: DataFrame, keys: list[str], coun
     return rows.join(sent, keys).unionByName(rows.join(sent.select(*keys), keys, "left_anti").join(rare, keys))
 
 
+class WordCache:
+    """What is known of words, in a worker's memory of bounded bytes: two generations, of which the older goes when the newer has half the bytes.
+
+    Words that come again in time move to the newer one, so frequent words stay. One set of words that is asked for at once is kept
+    whole, beyond the bytes if need be.
+    """
+
+    #: Bytes of an entry beside its characters and value: two objects and a place in a dictionary.
+    ENTRY_BYTES = 190
+
+    def __init__(self, most_bytes: int, learn: Callable[[list[str]], dict[str, bytes]]):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held, self.most_bytes, self.learn = 0, most_bytes, learn
+
+    def of(self, wanted: set[str]) -> dict[str, bytes]:
+        """A dictionary that has all of ``wanted``."""
+        missing = wanted.difference(self.new)
+        if missing:
+            if self.held + sum(map(len, missing)) + self.ENTRY_BYTES * len(missing) > self.most_bytes // 2:
+                self.old, self.new, self.held = self.new, {}, 0
+                missing = wanted
+            found = {w: self.old[w] for w in missing if w in self.old}
+            if len(found) < len(missing):
+                found |= self.learn(list(missing.difference(found)))
+            self.held += sum(map(len, found)) + sum(map(len, found.values())) + self.ENTRY_BYTES * len(found)
+            self.new.update(found)
+        return self.new
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

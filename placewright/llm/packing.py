@@ -33,16 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import documents, release, text_of, written
+from .common import WordCache, documents, release, text_of, written
 
 CAPACITY, END = 2048, 0
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces that one task packs, about; sequences that are sent to all tasks with their new place at most.
 GROUP, SENT_SEQUENCES = 60_000, 200_000
 #: Bytes that a worker's cache of words takes at most, about; words and texts' characters that are handled at once.
-CACHE_BYTES, WORDS_AT_ONCE, CHARS_AT_ONCE = 64 << 20, 20_000, 1 << 20
-#: Bytes of a cache entry beside its characters and ids: two objects and a place in a dictionary.
-ENTRY_BYTES = 190
+CACHE_BYTES, WORDS_AT_ONCE, CHARS_AT_ONCE = 96 << 20, 20_000, 1 << 20
 
 # Texts of these characters split alike by this pattern and by the tokenizer's: no character of other classes, no joining marks.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-©«-±´¶-¸»¿-ſ]*")
@@ -57,8 +55,7 @@ class Words:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.known: dict[str, bytes] = {}
-        self.held, self.cache_bytes = 0, cache_bytes
+        self.cache = WordCache(cache_bytes, self._learn)
 
     def _plain(self, text: str) -> bool:
         return bool(_PLAIN.fullmatch(text)) and "İ" not in text and not any(s in text for s in self.special) and unicodedata.is_normalized("NFC", text)
@@ -66,22 +63,12 @@ class Words:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        """Adds ``words``, at most ``WORDS_AT_ONCE`` unless they come from a bounded stretch of text; the cache starts anew before it would outgrow its bytes."""
-        fresh = list(words)
-        ids = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(fresh, add_special_tokens=False)]
-        self.held += sum(map(len, fresh)) + sum(map(len, ids)) + ENTRY_BYTES * len(fresh)
-        self.known.update(zip(fresh, ids, strict=True))
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
+        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, found, strict=True)}
 
     def _ids_of(self, words: list[list[str]]) -> list[bytes]:
-        wanted = set(chain.from_iterable(words))
-        fresh = wanted.difference(self.known)
-        if fresh:
-            if self.held + (ENTRY_BYTES + 16) * len(fresh) > self.cache_bytes:
-                self.known.clear()
-                self.held, fresh = 0, wanted
-            self._learn(fresh)
-        look = self.known.__getitem__
+        look = self.cache.of(set(chain.from_iterable(words))).__getitem__
         return [b"".join(map(look, w)) for w in words]
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
