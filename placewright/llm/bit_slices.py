@@ -5,7 +5,8 @@ the dimension's least value in the block. For a query, slices are added with bit
 component adds the dimension's slices, shifted; negative components add the complement. The sums are slices again, and the
 largest are found from the most significant slice downward; rows tied at the boundary are resolved by id.
 
-The queries are a stated set. Blocks of vectors and blocks of queries meet in cells, each a row of two byte strings.
+The queries are a stated set. They go in blocks of bounded bytes, one block after the other, to all tasks that hold a part of the index,
+which stays where it is; a task gives the best rows of its part, and those of all tasks are ranked.
 
 Vectors that are null or hold a null or a non-finite component take no part, as queries or candidates; those of another length
 than the query's are no candidates. Components are supported while scores fit a signed long. Repeated ids are candidates each, of which the least vector is the query;
@@ -14,18 +15,21 @@ null ids are no queries, and candidates that rank behind equal scores. An empty
 
 from __future__ import annotations
 
-import pickle
+import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 
 SCALE, EVERY, TOP = 256, 50, 5
 BLOCK_ROWS, BLOCK_QUERIES = 16_384, 256
+#: Bytes of the queries that are sent to all tasks at once.
+QUERY_BYTES = 32 << 20
 
 
 def quantised(vector: Column) -> Column:
@@ -51,6 +55,24 @@ class SliceIndex:
             self.slices.append(self._bitmap(bits.astype(np.uint8)))
         self.all = self._bitmap(np.ones((1, self.rows), np.uint8))[0]
 
+    def to_columns(self) -> list[bytes]:
+        """Ids, least values, numbers of digits, and all slices, as bytes."""
+        parts = [self.ids.astype("<i8"), self.least.astype("<i8"), np.array(self.digits, "<i4"), np.concatenate(self.slices).astype("<u8") if self.slices else np.zeros(0, "<u8")]
+        return [np.ascontiguousarray(p).tobytes() for p in parts]
+
+    @classmethod
+    def from_columns(cls, ids: bytes, least: bytes, digits: bytes, slices: bytes) -> SliceIndex:
+        self = cls.__new__(cls)
+        self.ids, self.least = np.frombuffer(ids, "<i8"), np.frombuffer(least, "<i8")
+        self.digits = np.frombuffer(digits, "<i4").tolist()
+        self.rows, self.width = len(self.ids), len(self.least)
+        self.words = -(-self.rows // 64)
+        every = np.frombuffer(slices, "<u8").reshape(-1, self.words)
+        ends = np.cumsum(self.digits).tolist()
+        self.slices = [every[end - n : end] for n, end in zip(self.digits, ends, strict=True)]
+        self.all = self._bitmap(np.ones((1, self.rows), np.uint8))[0]
+        return self
+
     def _bitmap(self, bits: np.ndarray) -> np.ndarray:
         packed = np.packbits(bits, axis=1, bitorder="little")
         out = np.zeros((len(bits), self.words * 8), np.uint8)
@@ -139,15 +161,19 @@ class SliceIndex:
         return out
 
 
-def _blocks(rows: int, build):
-    """Rows (id, vector) to rows (length, data): blocks of vectors of one length."""
+INDEX = "length int, ids binary, least binary, digits binary, slices binary"
+QUERIES = "length int, ids binary, vectors binary"
+
+
+def _blocks(rows: int, names: list[str], build):
+    """Rows (id, vector) to rows of a length and ``build``'s columns of bytes: blocks of vectors of one length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
         def block(length: int) -> pa.RecordBatch:
             ids, values = (np.concatenate(x) for x in zip(*held.pop(length), strict=True))
-            return pa.RecordBatch.from_arrays([pa.array([length], pa.int32()), pa.array([pickle.dumps(build(ids, values))], pa.binary())], names=["length", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([length], pa.int32()), *(pa.array([x], pa.binary()) for x in build(ids, values))], names=names)
 
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
@@ -167,36 +193,63 @@ def _blocks(rows: int, build):
     return run
 
 
-def _search(k: int):
+def _search(sent, k: int):
+    """Rows of the index to (query_id, vec_id, score): the ``k`` best rows of the task's part for each of the queries that were sent."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for length, ids, vectors in sent.value:
+            asked.setdefault(length, []).append((np.frombuffer(ids, "<i8"), np.frombuffer(vectors, "<i8").reshape(-1, length)))
+        best: dict[int, list[tuple[int, int]]] = {}  # (-score, id): a query has one vector, so one length
         for batch in batches:
-            for data, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                index, (ids, values) = pickle.loads(data), pickle.loads(asked)
-                out: list[tuple[int, int, int]] = [(int(q), i, s) for q, v in zip(ids, values, strict=True) for i, s in index.top(v, int(q), k)]
-                columns = list(zip(*out, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+            for i in range(batch.num_rows):
+                length, *columns = (batch.column(c)[i].as_py() for c in range(5))
+                index = SliceIndex.from_columns(*columns)
+                for ids, vectors in asked.get(length, ()):
+                    for query, vector in zip(ids.tolist(), vectors, strict=True):
+                        found = [(-score, row) for row, score in index.top(vector, query, k)]
+                        best[query] = heapq.nsmallest(k, best.get(query, []) + found)
+        rows = [(query, row, -score) for query, found in best.items() for score, row in found]
+        for at in range(0, len(rows), 50_000):
+            columns = zip(*rows[at : at + 50_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def top_k(vectors: DataFrame, asked: Column, k: int = TOP, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+def _rounds(blocks: DataFrame, most_bytes: int) -> Iterator[list[tuple[int, bytes, bytes]]]:
+    """The blocks of queries, some at a time: the driver holds ``most_bytes`` and a block."""
+    held, size = [], 0
+    for row in blocks.toLocalIterator():
+        held.append((row["length"], bytes(row["ids"]), bytes(row["vectors"])))
+        size += len(row["ids"]) + len(row["vectors"])
+        if size >= most_bytes:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def top_k(vectors: DataFrame, asked: Column, k: int = TOP, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` best of all ``vectors`` (vec_id, embedding) for each row where ``asked`` holds."""
     last = (1 << 63) - 1
     ready = vectors.select(F.coalesce(vectors["vec_id"].cast("long"), F.lit(last)).alias("vec_id"), quantised(vectors["embedding"]).alias("v"), F.coalesce(asked, F.lit(False)).alias("asked"))
     ready = ready.where("v is not null")
     spark = vectors.sparkSession
-    index = written(ready.select("vec_id", "v").mapInArrow(_blocks(block_rows, SliceIndex), "length int, data binary"), "slices")
+    names = [f.split(" ")[0] for f in INDEX.split(", ")]
+    index = written(ready.select("vec_id", "v").mapInArrow(_blocks(block_rows, names, lambda i, v: SliceIndex(i, v).to_columns()), INDEX), "slices")
     asking = ready.where("asked").groupBy("vec_id").agg(F.min("v").alias("v"))  # of rows with one id, one asks
-    queries = asking.repartition(1 + ready.where("asked").count() // (8 * block_queries), "vec_id")
-    queries = written(queries.mapInArrow(_blocks(block_queries, lambda i, v: (i, v)), "length int, data binary").withColumn("block", F.monotonically_increasing_id()), "slice-queries")
-    # the grid of cells: each block of vectors is dealt to each block of queries of its length by an equi-join
-    blocks = [(r["length"], r["block"]) for r in queries.select("length", "block").collect()]  # one pair of numbers for each block of queries
-    per_length = spark.createDataFrame([(n, [b for m, b in blocks if m == n]) for n in sorted({n for n, _ in blocks})] or [(0, [])], "length int, blocks array<long>")
-    cells = index.join(F.broadcast(per_length), "length").select("data", F.explode("blocks").alias("block"))
-    grid = cells.join(queries.select("block", F.col("data").alias("asked")), "block").select("data", "asked")
-    found = grid.repartition(max(1, min(4096, 4 * len(blocks))), F.xxhash64("data", "asked")).mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    names = [f.split(" ")[0] for f in QUERIES.split(", ")]
+    queries = written(asking.mapInArrow(_blocks(block_queries, names, lambda i, v: [np.ascontiguousarray(x, "<i8").tobytes() for x in (i, v)]), QUERIES), "slice-queries")
+    found = []
+    for some in _rounds(queries, query_bytes):
+        sent = spark.sparkContext.broadcast(some)  # bounded by query_bytes and a block
+        found.append(written(index.mapInArrow(_search(sent, k), "query_id long, vec_id long, score long"), "slice-hits"))
+        sent.unpersist()
+    release(spark, index, queries)
+    hits = reduce(DataFrame.union, found) if found else spark.createDataFrame([], "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.when(F.col("vec_id") != last, F.col("vec_id")).alias("vec_id"), "score")
 
 

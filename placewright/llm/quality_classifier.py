@@ -71,7 +71,7 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
 
 
 def _dictionary(texts: list[str]) -> bytes:
-    samples = [t.encode() for t in texts if t]
+    samples = [t.encode("utf-8", "surrogatepass") for t in texts if t]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself is the dictionary

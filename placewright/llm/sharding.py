@@ -2,7 +2,8 @@
 
 A row's key is the hash of its text, then the hash of its id, then a number that is its own; rows of equal texts, however
 many, are so told apart and may lie on both sides of a boundary. The sample, of bounded size, takes rows with a chance in
-proportion to their size. Its quantiles cut the keys into many fine ranges; an overfull range is subdivided by a further hash.
+proportion to their size. Its quantiles cut the keys into many fine ranges, more of them for more rows, so that a range fits a task;
+an overfull range is subdivided by a further hash.
 The exact bytes of all rows before a row, from sums by range and a running sum within its range, decide its shard, so shard
 sizes differ by one row's size at most.
 
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import documents, text_of, written
 
 SHARDS, ROW_BYTES = 24, 8
-#: Expected rows of the sample, and fine ranges for each shard.
-SAMPLE_ROWS, RANGES_PER_SHARD = 40_000, 48
+#: Expected rows of the sample for each fine range, fine ranges for each shard at least, rows of a range (about), and ranges at most.
+SAMPLE_PER_RANGE, RANGES_PER_SHARD, RANGE_ROWS, MOST_RANGES = 35, 48, 500_000, 20_000
 #: A range that holds more than so many times its share is subdivided.
 OVERFULL = 2.0
 
@@ -34,11 +35,12 @@ def _range_of(key: Column, bounds: list[tuple[int, int]]) -> Column:
     return F.aggregate(steps, F.lit(0), lambda acc, step: F.when(below(acc + step), acc + step).otherwise(acc))
 
 
-def splitters(keyed: DataFrame, ranges: int, sample_rows: int = SAMPLE_ROWS) -> list[tuple[int, int]]:
+def splitters(keyed: DataFrame, ranges: int, sample_rows: int | None = None) -> list[tuple[int, int]]:
     """Boundaries of ``ranges`` ranges of about equal bytes, from a sample of keys (a, b) weighted by ``size``."""
     total = keyed.agg(F.sum("size")).first()[0] or 0
     if not total:
         return []
+    sample_rows = sample_rows or SAMPLE_PER_RANGE * ranges
     # a row's own uniform number against its chance: expected hits at and above 1 are certain
     uniform = F.pmod(F.xxhash64("a", "b", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     hits = F.col("size") * (sample_rows / total)
@@ -61,11 +63,12 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.xxhash64(text).alias("a"), F.xxhash64(docs["doc_id"], F.monotonically_increasing_id()).alias("b"),
     )
     keyed = written(rows, "sharding")  # from here on a row's own number stays the same
-    bounds = splitters(keyed, shards * RANGES_PER_SHARD)
+    ranges = min(max(shards * RANGES_PER_SHARD, keyed.count() // RANGE_ROWS), max(MOST_RANGES, shards * RANGES_PER_SHARD))
+    bounds = splitters(keyed, ranges)
     ranged = keyed.withColumn("range", _range_of(F.struct("a", "b"), bounds))
     # sums by range: as many rows as there are splitters
     sums = {r["range"]: (r["bytes"], r["n"]) for r in ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
-    total, share = sum(x for x, _ in sums.values()), sum(x for x, _ in sums.values()) / max(1, shards * RANGES_PER_SHARD)
+    total, share = sum(x for x, _ in sums.values()), sum(x for x, _ in sums.values()) / max(1, ranges)
     parts = {k: min(n, int(x / share) + 1) for k, (x, n) in sums.items() if x > OVERFULL * share and n > 1}
     if parts:
         # an overfull range is cut again by a further hash: the order within a range is free

@@ -26,7 +26,7 @@ from .common import documents, id_remainder, text_of
 from .training import labelled_sample
 
 MODULUS, HELD_OUT, PREDICT_AT = 3, 1, 0.7
-#: Lexicon entries at most, and the least ratio of a word's frequency in toxic and in other texts.
+#: Lexicon entries at most (of a bounded sample: those in most toxic texts), and the least ratio of a word's frequency in toxic and in other texts.
 LEXICON_SIZE, LEAST_RATIO, LEAST_DOCS = 600, 12.0, 3
 STEMS = (4, 5, 6)
 #: Words that address somebody, in the four languages of the corpus.
@@ -35,7 +35,7 @@ NEAR = 5
 _SWAPS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t"})
 _WORD = re.compile(r"[^\W\d_]+")
 _SIGNS = re.compile(r"[0-9@$!|+*._-]+(?=[^\W\d_])")
-_LETTERS_BEFORE, _LETTERS_AFTER = re.compile(r"[^\W_]*$"), re.compile(r"[\w@$!|+*.-]*")
+_LETTERS_AFTER = re.compile(r"[\w@$!|+*.-]*")
 _SINGLES = re.compile(r"\S{4,}")
 _CAPITALS = bytes(range(65, 91))
 _ASIDE = re.compile(r"[\W\d_]+")
@@ -71,8 +71,10 @@ def _mixed(text: str) -> list[str]:
     for m in _SIGNS.finditer(text):
         at = m.start()
         if at >= past and at and text[at - 1].isalpha():
-            start = at - len(_LETTERS_BEFORE.search(text[max(0, at - 40) : at])[0])
-            past = _LETTERS_AFTER.match(text, m.end(), m.end() + 40).end()
+            start = at
+            while start > past and text[start - 1].isalnum():
+                start -= 1
+            past = _LETTERS_AFTER.match(text, m.end()).end()
             out.append(text[start:past])
     return out
 
