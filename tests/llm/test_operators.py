@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from placewright.llm import bit_slices, bpe, bwt, common, graph, packing, quality_classifier, quality_rules, secrets, segments, sharding, simhash, suffix_dedup, toxicity
+from placewright.llm import bit_slices, bpe, bwt, common, graph, packing, quality_classifier, quality_rules, secrets, segments, sharding, simhash, suffix_dedup, toxicity, training, trees
 
 SCHEMA = "doc_id long, text string, score double, fp string, row string, size long"
 ODD = [
@@ -236,8 +236,24 @@ def test_token_ids_are_the_tokenizers(monkeypatch):
     tight = packing.Words(path, cache_bytes=9000)
     for _ in range(2):
         assert [np.frombuffer(x, "<u4").tolist() for x in tight.ids(some)] == want
-    # never more than the bytes allowed and one stretch of words
-    assert tight.held <= 9000 + 900 * (packing.ENTRY_BYTES + 20)
+    assert tight.cache.held <= 4500 + 900 * (common.WordCache.ENTRY_BYTES + 20)
+
+
+def test_word_cache_keeps_what_comes_again_within_its_bytes():
+    asked = Counter()
+
+    def learn(words):
+        asked.update(words)
+        return {w: w.encode() for w in words}
+
+    cache = common.WordCache(20_000, learn)
+    for k in range(200):
+        wanted = {"often", "again", *(f"{k}-{i}" for i in range(5))}
+        found = cache.of(wanted)
+        assert all(found[w] == w.encode() for w in wanted)
+        assert len(cache.new) + len(cache.old) <= 20_000 // common.WordCache.ENTRY_BYTES
+    assert asked["often"] == asked["again"] == 1 and all(n == 1 for n in asked.values())
+    assert set(cache.of({f"x{i}" for i in range(500)})) >= {f"x{i}" for i in range(500)}
 
 
 @pytest.mark.parametrize("group", [60_000, 40])
@@ -274,17 +290,31 @@ def test_best_fit_keeps_every_capacity_and_is_near_the_bound():
 # 4
 
 
-def test_sharding(spark, odd, none):
+def test_sharding(spark, odd, none, monkeypatch):
     many = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same").otherwise(F.expr("repeat('x', int(id % 500))")).alias("text"))
-    out = sharding.sharded(many).toPandas()
-    by = out.groupby("shard")
-    assert len(out) == 3000 and by["size"].sum().max() - by["size"].sum().min() <= 2 * out["size"].max()
-    assert sorted(out.shard.unique()) == list(range(24)) and all(sorted(g.slot) == list(range(len(g))) for _, g in by)
+    for overfull, rows in ((2.0, 500_000), (0.1, 20)):  # with every range subdivided, with more ranges
+        monkeypatch.setattr(sharding, "OVERFULL", overfull)
+        monkeypatch.setattr(sharding, "RANGE_ROWS", rows)
+        out = sharding.sharded(many).toPandas()
+        by = out.groupby("shard")
+        assert len(out) == 3000 and by["size"].sum().max() - by["size"].sum().min() <= 2 * out["size"].max()
+        assert sorted(out.shard.unique()) == list(range(24)) and all(sorted(g.slot) == list(range(len(g))) for _, g in by)
+        text = {r.doc_id: r.text for r in many.collect()}
+        assert all(r["size"] == len(text[r.doc_id]) + 8 and r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) for _, r in out.iterrows())
     few = sharding.sharded(odd).toPandas()
     assert len(few) == len(ODD) and few[few.doc_id == 2]["size"].item() == 8 and few[few.doc_id == 2].text_crc32.item() == 0
     assert sharding.sharded(none).count() == 0
 
 
+def test_ranges_by_binary_search_are_those_of_counting(spark):
+    rng = random.Random(4)
+    bounds = sorted({(rng.randint(-9, 9), rng.randint(-3, 3)) for _ in range(37)})
+    keys = [(a, b) for a in range(-10, 11) for b in range(-4, 5)]
+    for some in (bounds, bounds[:1], []):
+        df = spark.createDataFrame(keys, "a long, b long").select("a", "b", sharding._range_of(F.struct("a", "b"), some).alias("r"))
+        assert all(r.r == sum(x <= (r.a, r.b) for x in some) for r in df.collect())
+
+
 # 5
 
 
@@ -315,7 +345,7 @@ def test_bpe_is_tiktoken(spark, odd, none, monkeypatch):
             some, want = [some[i] for i in keep], [want[i] for i in keep]
         tight = bpe.Codec(public_tokenizers.path(bpe.RANKS), cache_bytes=20_000)
         check(tight)
-        assert tight.held < 60_000
+        assert tight.cache.held < 60_000
     out = odd.select("text", bpe.digests(F.coalesce("text", F.lit(""))).alias("d")).select("text", "d.*").collect()
     for r in out:
         ids = np.array(truth.encode_ordinary(r["text"] or ""), "<u4").tobytes()
@@ -328,11 +358,12 @@ def test_bpe_is_tiktoken(spark, odd, none, monkeypatch):
 # 6
 
 
-def test_bit_sliced_top_k(spark):
+@pytest.mark.parametrize("query_bytes", [1 << 20, 1])
+def test_bit_sliced_top_k(spark, query_bytes):
     rng = np.random.default_rng(4)
     vectors = [(i, rng.normal(0, 3, 7).tolist()) for i in range(400)] + [(i, [1.0] * 7) for i in range(400, 460)] + [(460, None), (461, [1.0, None] * 3), (462, [float("nan")] * 7), (463, [1.0]), (3, [2.0] * 7)]
     df = spark.createDataFrame([(i, v, i) for i, v in vectors], "vec_id long, embedding array<double>, score long")
-    got = sorted(map(tuple, bit_slices.top_k(df, F.col("vec_id") % 50 == 0, block_rows=64, block_queries=3).collect()))
+    got = sorted(map(tuple, bit_slices.top_k(df, F.col("vec_id") % 50 == 0, block_rows=64, block_queries=3, query_bytes=query_bytes).collect()))
     usable = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in vectors if v and len(v) == 7 and all(x is not None and np.isfinite(x) for x in v)]
     want = []
     for q, v in usable:
@@ -346,6 +377,73 @@ def test_bit_sliced_top_k(spark):
 # 7, 10
 
 
+def test_isotonic_is_the_best_monotone_fit():
+    """Against the min-max formula of isotonic regression, without smoothing."""
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        n = int(rng.integers(1, 25))
+        score, y = rng.integers(0, 8, n).astype(float), rng.integers(0, 2, n)
+        at = np.unique(score)
+        total, weight = np.array([y[score == a].sum() for a in at], float), np.array([(score == a).sum() for a in at], float)
+        mean = lambda i, j: total[i : j + 1].sum() / weight[i : j + 1].sum()
+        want = [max(min(mean(i, j) for j in range(k, len(at))) for i in range(k + 1)) for k in range(len(at))]
+        assert np.allclose(trees.calibrated(at, trees.isotonic(score, y, pad=0.0)), want)
+
+
+def test_boosting_takes_the_best_first_split_and_lowers_the_loss():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 4)).round(1)
+    y = ((x[:, 2] > 0.3) ^ (rng.random(400) < 0.1)).astype(float)
+    one = trees.boost(x, y, trees=1, depth=1, rate=1.0, bins=400, least=1)
+    g, h = y - y.mean(), np.full(400, y.mean() * (1 - y.mean()))
+    value = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1) + g[~m].sum() ** 2 / (h[~m].sum() + 1)
+    gains = [(value(x[:, j] <= c), j, c) for j in range(4) for c in np.unique(x[:, j])[:-1]]
+    best = max(v for v, _, _ in gains)
+    assert abs(value(x[:, one.features[0, 0]] <= one.cuts[0, 0]) - best) < 1e-9
+    loss = []
+    for n in (1, 5, 20, 60):
+        p = 1 / (1 + np.exp(-trees.boost(x, y, trees=n, depth=2).raw(x)))
+        loss.append(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+    assert loss == sorted(loss, reverse=True) and loss[-1] < 0.35
+
+
+def test_compression_difference_is_that_of_single_blocks():
+    import zstandard
+
+    good, bad = ["the quiet river runs to the sea and back again"] * 40, ["qq zz xx " * 20] * 40
+    sample = pd.DataFrame({"text": [t for p in zip(good, bad, strict=True) for t in (p[0], p[0], p[1], p[1])], "y": [1, 1, 0, 0] * 40})
+    model = quality_classifier.fit(sample)
+    text = "the quiet river " * 90 + "zz xx"
+    size = lambda d, b: len(zstandard.ZstdCompressor(level=quality_classifier.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False).compress(b))
+    data = text.encode()
+    blocks = [data[i : i + quality_classifier.BLOCK] for i in range(0, len(data), quality_classifier.BLOCK)]
+    want = sum(size(model.bad, b) - size(model.good, b) for b in blocks) / len(data)
+    assert abs(model.difference([text])[0] - want) < 1e-12
+    assert model.score(["the quiet river runs"])[0] > model.score(["qq zz xx qq"])[0]
+
+
+def test_labelled_samples_are_bounded_and_bear_any_id(spark):
+    docs = spark.createDataFrame([(f"d{i}", "x" * (i % 50)) for i in range(300)] + [("d7", None), (None, "y")], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(300)] + [(None, 1), ("d3", None), ("gone", 1)], "doc_id string, quality int")
+    free = lambda i: zlib.crc32(f"d{i}".encode()) % 4 != 2
+    whole = training.labelled_sample(docs, labels, "quality", 4, 2)
+    assert sorted(zip(whole.text.str.len(), whole.y, strict=True)) == sorted((0 if i == 7 else i % 50, i % 2) for i in range(300) if free(i))
+    some = training.labelled_sample(docs, labels, "quality", 4, 2, rows=20)
+    assert len(some) <= 20 and some.text.tolist() == whole.text.tolist()[: len(some)]
+    tight = training.labelled_sample(docs, labels, "quality", 4, 2, most_bytes=300)
+    assert 0 < tight.text.str.len().sum() <= 300
+    assert len(training.labelled_sample(docs, labels.where("false"), "quality", 4, 2)) == 0
+    out = quality_classifier.with_quality(docs, quality_classifier.trained(docs, labels), "q")
+    assert out.count() == 302
+    toxic = toxicity.with_toxicity(docs, toxicity.trained(docs, labels.withColumnRenamed("quality", "toxic")), "t")
+    assert toxic.where("t between 0 and 1").count() == 302
+
+
+def test_disguised_words_are_found_whole():
+    long = "m" + "0r" * 60 + "*n"
+    assert toxicity._mixed(f"a {long} and b-c, x1 2y well-known") == [long, "b-c", "well-known"]
+
+
 def frames(spark, column):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
