@@ -1,4 +1,4 @@
-"""Queries do the whole job: held against their SQL without its row filters, or against brute force."""
+"""Queries do the whole job: held against SQL over whole tables, or against brute force."""
 
 import decimal
 
@@ -26,12 +26,12 @@ def same_rows(got, want) -> None:
 
 
 def test_cascade_links_all_parts(spark, db):
-    want = db.sql(plans.ORACLES["cascade_link"].replace(" WHERE p_partkey % 20 = 0", ""))
+    want = db.sql(plans.ORACLES["cascade_link"])
     same_rows(plans.QUERIES["cascade_link"](spark, SF), want)
 
 
 def test_clean_keys_hold_all_lines(spark, db):
-    want = db.sql(plans.ORACLES["clean_keys"].replace("split_part(text, chr(10), 1)", "text"))
+    want = db.sql(plans.ORACLES["clean_keys"])
     same_rows(plans.QUERIES["clean_keys"](spark, SF), want)
 
 
@@ -39,7 +39,7 @@ def test_address_patterns_hold_all_lines(spark, tmp_path):
     texts = ["Hauptstr. 5, Köln\nKreis Stolp", "\nbei  Ulm 3b", "Ulm\n\nAm Ring 7", "", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.pattern for r in plans.QUERIES["address_pattern"](spark, str(tmp_path)).collect()}
-    assert got == dict(enumerate(["STREET NUM, WORD DIST WORD", "PREP WORD NUM", "WORD PREP STREET NUM", "", None]))
+    assert got == dict(enumerate(["WORD NUM, WORD DIST WORD", "PREP WORD NUM", "WORD PREP STREET NUM", "", None]))
 
 
 @pytest.mark.parametrize("name", ["knn_cosine_topk", "fallback_examples", "hybrid_topk"])
@@ -47,12 +47,12 @@ def test_searches_find_other_queries_but_not_themselves(spark, tmp_path, name):
     con = duckdb.connect()
     con.execute("CREATE TABLE embeddings AS SELECT i AS vec_id, [(1 + (i % 100 <> 0)::INT * ((i * 37 + j * j * 11) % 23) + ((i + 3 * j) % 7) / 10)::FLOAT FOR j IN range(8)] AS embedding, (i % 3)::INT AS label FROM range(301) t(i)")
     con.execute(f"COPY embeddings TO '{tmp_path}/embeddings.parquet'")
-    given = con.sql(plans.ORACLES[name]).fetchall()
-    want = con.sql(plans.ORACLES[name].replace("e.vec_id % 100 <> 0", "e.vec_id <> q.vec_id"))
-    assert sorted(given) != sorted(want.fetchall())
+    want = con.sql(plans.ORACLES[name])
+    cut = con.sql(plans.ORACLES[name].replace("e.vec_id <> q.vec_id", "e.vec_id % 100 <> 0"))  # without the other queries
+    assert sorted(cut.fetchall()) != sorted(want.fetchall())
     same_rows(plans.QUERIES[name](spark, str(tmp_path)), want)
 
 
 def test_left_join_holds_all_sizes(spark, db):
-    want = db.sql(plans.ORACLES["left_join_suffix"].replace(" WHERE p_size < 5", "").replace(" WHERE p_size > 45", ""))
+    want = db.sql(plans.ORACLES["left_join_suffix"])
     same_rows(plans.QUERIES["left_join_suffix"](spark, SF), want)
