@@ -205,16 +205,20 @@ def test_links_prefer_and_fall_back(spark):
 # parsers and stored answers
 
 
-class Odd:
-    """Answers with the length, and fails on some texts."""
+def odd_parser():
+    class Odd:  # within a function, so that workers get it by value
+        """Answers with the length, and fails on some texts."""
 
-    def parse_addresses(self, texts):
-        if "bad" in texts:
-            raise ValueError("bad text")
-        return [{"n": len(t), "none": None, "empty": ""} for t in texts]
+        def parse_addresses(self, texts):
+            if "bad" in texts:
+                raise ValueError("bad text")
+            return [{"n": len(t), "none": None, "empty": ""} for t in texts]
+
+    return Odd
 
 
 def test_parsers_get_batches_and_errors_stay_with_their_rows(spark):
+    Odd = odd_parser()
     rows = spark.createDataFrame([(i, "bad" if i == 40 else "x" * (i % 5)) for i in range(90)] + [(90, None)], "id int, text string").coalesce(1)
     got = {r.id: r for r in parse.parsed(rows, "id", "text", Odd).collect()}
     assert len(got) == 91 and got[40].error == "ValueError: bad text" and got[40].prediction == {}
