@@ -138,7 +138,8 @@ def _matches(asked: DataFrame, names: DataFrame, threshold: int, reduced_tier: b
         near = near.union(short).groupBy("query_id", "name_id").agg(F.max("abbreviated").alias("abbreviated")).withColumn("exact", F.lit(False))
         pairs = exact.unionByName(near)
     full = pairs.join(asked.select("query_id", "text", "hint", F.col("clean").alias("clean_query")), "query_id").join(known, "name_id")
-    hinted = F.coalesce(F.array_contains("hint", F.col("country")), F.lit(False))
+    inside = F.col("hint").contains(F.col("country")) if asked.schema["hint"].dataType.simpleString() == "string" else F.array_contains("hint", F.col("country"))
+    hinted = F.coalesce(inside, F.lit(False))
     reduced = F.coalesce("reduced", F.lit(False)) & F.lit(reduced_tier)
     return full.withColumn("tier", F.when(F.col("exact"), F.when(hinted, 1).otherwise(2)).when(hinted, 4).when(reduced, 5).otherwise(6))
 
@@ -148,8 +149,8 @@ def link(
 ) -> DataFrame:
     """Matches of each query by rank, ties included.
 
-    queries: query_id, text, and optionally hint (array of country codes); names: name_id, entity_id, name, and optionally
-    country, reduced, preferred (booleans). Distinct texts and hints are searched once. Queries that are blank or clean to nothing
+    queries: query_id, text, and optionally hint (an array of country codes, or a text that holds them); names: name_id, entity_id, name,
+    and optionally country, reduced, preferred (booleans). Distinct texts and hints are searched once. Queries that are blank or clean to nothing
     match nothing. Tiers: 1 exact in a hinted country, 2 exact, 4 near in a hinted country, 5 near among reduced names (unless
     ``reduced_tier`` is off, as for countries), 6 near anywhere, 7 anything among ``any_type``, names of all types, for queries without a
     match so far. Threshold 0 asks for equal clean keys. Of matches that are equally near, preferred names come first.

@@ -198,6 +198,10 @@ def test_links_prefer_and_fall_back(spark):
     asked = spark.createDataFrame([(1, "Ulm"), (2, "Koln"), (3, "Rhain"), (4, " "), (5, None), (6, "nichts davon")], "query_id int, text string")
     found = {(r.query_id, r.entity_id): (r["rank"], r.tier) for r in link.link(asked, names, threshold=1, topk=2, any_type=every).collect()}
     assert found == {(1, 20): (1, 2), (1, 10): (2, 2), (2, 30): (1, 2), (3, 40): (1, 7)}
+    places = names.withColumn("country", F.when(F.col("entity_id") == 10, "DE").otherwise("AT"))
+    for hint in (F.array(F.lit("FR"), F.lit("DE")), F.lit("FR,DE")):
+        found = link.link(asked.withColumn("hint", hint), places, threshold=1, topk=2)
+        assert {(r.query_id, r.entity_id): r.tier for r in found.collect()} == {(1, 10): 1, (2, 30): 2}
     exact = link.link(asked, names, threshold=0, topk=1)
     assert sorted(r.query_id for r in exact.collect()) == [1, 2]
 
