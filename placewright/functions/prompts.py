@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from math import factorial
 
 from pyspark.sql import Column
@@ -50,6 +51,34 @@ def partial_permutation(included: Column, code: Column, items: Column) -> Column
     return F.when(F.size(some) <= 1, some).otherwise(permutation_of_code(code, some))
 
 
+def filled(template: str, values: dict[str, Column]) -> Column:
+    """A template with ``%(name)s`` replaced by columns, and ``%%`` by a per cent sign; a name without a column is an error."""
+    parts = re.split(r"%\((\w+)\)s", template)
+    return F.concat(*[values[x] if i % 2 else F.lit(x.replace("%%", "%")) for i, x in enumerate(parts)])
+
+
+def json_string(x: Column) -> Column:
+    quoted = F.to_json(F.array(x))
+    return F.substring(quoted, F.lit(2), F.char_length(quoted) - 2)
+
+
+def labels_json(labels: Column, as_pairs: bool = False) -> Column:
+    """A map as a JSON object, or as a list of [part, label], with a space behind each comma and colon, within a fence."""
+    one = (lambda e: F.concat(F.lit("["), json_string(e["value"]), F.lit(", "), json_string(e["key"]), F.lit("]"))) if as_pairs else (lambda e: F.concat(json_string(e["key"]), F.lit(": "), json_string(e["value"])))
+    inner = F.array_join(F.transform(F.map_entries(labels), one), ", ")
+    return F.concat(F.lit("```json["), inner, F.lit("]```")) if as_pairs else F.concat(F.lit("```json{"), inner, F.lit("}```"))
+
+
+#: What comes before examples, and the form of each.
+EXAMPLES_PREFIX, EXAMPLE = "Consider the following examples:\n", "Address: %(address)s\n%(example)s\n"
+
+
+def few_shot_prompt(template: str, address: Column, examples: Column, prefix: str = EXAMPLES_PREFIX, form: str = EXAMPLE, as_pairs: bool = False) -> Column:
+    """A prompt by a template of ``examples`` and ``address``; examples: array of structs (address, labels: map). The prefix comes only with examples."""
+    shown = F.array_join(F.transform(examples, lambda e: filled(form, {"address": e["address"], "example": labels_json(e["labels"], as_pairs)})), "")
+    return filled(template, {"address": address, "examples": F.when(F.size(examples) > 0, F.concat(F.lit(prefix), shown)).otherwise("")})
+
+
 def item_list(items: Column) -> Column:
     """``- item`` lines of an array of strings."""
     return F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n")

@@ -120,6 +120,27 @@ SELECT n_nationkey, concat_ws(chr(10), CASE WHEN n_nationkey % 3 > 0 THEN 'Task:
 """
 
 
+def few_shot_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts with an example or two, or none, as objects and as pairs."""
+    n = F.col("n_nationkey")
+    shot = lambda address, labels: F.struct(address.alias("address"), labels.alias("labels"))
+    one = shot(F.concat(F.lit("in "), "n_name"), F.create_map(F.lit("City"), F.col("n_name"), F.lit("Note"), F.lit('a "b"')))
+    two = shot(F.lit("Ulm"), F.create_map(F.lit("City"), F.lit("Ulm"), F.lit("Note"), F.lit("ä")))
+    examples = F.slice(F.array(one, two), 1, (n % 3).cast("int"))
+    template = "100%% of fields.\n%(examples)sAddress: %(address)s"
+    made = [prompts.few_shot_prompt(template, F.lower("n_name"), examples, as_pairs=pairs).alias(name) for name, pairs in (("objects", False), ("pairs", True))]
+    return table(spark, sf_dir, "nation").select("n_nationkey", *made)
+
+
+SHOTS_SQL = r"""
+WITH e AS (SELECT *, 'Consider the following examples:' || chr(10) AS p, chr(10) AS nl FROM nation)
+SELECT n_nationkey, '100% of fields.' || nl || CASE WHEN n_nationkey % 3 > 0 THEN p || 'Address: in ' || n_name || nl || '```json{"City": "' || n_name || '", "Note": "a \"b\""}```' || nl ELSE '' END
+    || CASE WHEN n_nationkey % 3 = 2 THEN 'Address: Ulm' || nl || '```json{"City": "Ulm", "Note": "ä"}```' || nl ELSE '' END || 'Address: ' || lower(n_name) AS objects,
+    '100% of fields.' || nl || CASE WHEN n_nationkey % 3 > 0 THEN p || 'Address: in ' || n_name || nl || '```json[["' || n_name || '", "City"], ["a \"b\"", "Note"]]```' || nl ELSE '' END
+    || CASE WHEN n_nationkey % 3 = 2 THEN 'Address: Ulm' || nl || '```json[["Ulm", "City"], ["ä", "Note"]]```' || nl ELSE '' END || 'Address: ' || lower(n_name) AS pairs FROM e
+"""
+
+
 def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     stored = c.groupBy("conv_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))).alias("conversation"))
@@ -231,6 +252,6 @@ GRID_SQL = "SELECT r_name || '-' || prompt || '-' || strategy AS config_name, r_
 QUERIES = {
     "other_columns": (other_columns, OTHER_SQL), "masked_rows": (masked_rows, MASKS_SQL), "aligned_rows": (aligned_rows, ALIGNED_SQL), "distinct_values": (distinct_values, DISTINCT_SQL), "tagged_union": (tagged_union, UNION_SQL),
     "level_relations": (level_relations, RELATIONS_SQL), "cities_and_countries": (cities_and_countries, CITIES_SQL), "strict_merge": (strict_merge, STRICT_SQL), "prompt_sections": (prompt_sections, SECTIONS_SQL),
-    "conversation_turns": (conversation_turns, TURNS_SQL), "tsv_source": (tsv_source, TSV_SQL), "csv_source": (csv_source, CSV_SQL), "json_lines_by_field": (json_lines_by_field, JSON_SQL),
+    "conversation_turns": (conversation_turns, TURNS_SQL), "few_shot_prompts": (few_shot_prompts, SHOTS_SQL), "tsv_source": (tsv_source, TSV_SQL), "csv_source": (csv_source, CSV_SQL), "json_lines_by_field": (json_lines_by_field, JSON_SQL),
     "prediction_cache": (prediction_cache, CACHE_SQL), "prediction_file": (prediction_file, FILE_SQL), "linked_triples": (linked_triples, TRIPLES_SQL), "kept_labels": (kept_labels, KEPT_SQL), "config_grid": (config_grid, GRID_SQL),
 }
