@@ -36,7 +36,7 @@ from .common import SENT_KEYS, column, documents, joined_by_frequency, release,
 
 LENGTH = 200
 #: Distinct segments of one key in a block at most; bytes of a block, about.
-CROWD, BLOCK_BYTES = 2048, 1_500_000
+CROWD, BLOCK_BYTES = 2048, 750_000
 _INTS = "array<int>"
 
 
