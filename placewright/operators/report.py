@@ -39,24 +39,26 @@ def exact_quantiles(df: DataFrame, group: str, value: str, shares: list[float],
     """(group, share, quantile): exact interpolated quantiles, without holding a group's values in one task.
 
     Approximate quantiles, off by a known number of ranks, bracket each of them; what lies below is counted, and only the few values
-    within the bracket are put in order. Nulls take no part.
+    within the bracket are put in order. Approximate quantiles differ from one evaluation to the next, so one join counts both, and each
+    row is in exactly one of the counts whatever bracket it met. A bracket that misses its quantile is an error. Nulls take no part.
     """
     rows = df.select(group, F.col(value).cast("double").alias("_v")).where("_v is not null")
     edge = 3.0 / accuracy
     probes = [min(max(p, 0.0), 1.0) for s in shares for p in (s - edge, s + edge)]
     bounds = rows.groupBy(group).agg(F.count("*").alias("_n"), F.percentile_approx("_v", probes, accuracy).alias("_b"))
-    inf = F.lit(float("inf"))
-    each = [F.struct(F.lit(s).alias("share"), (-inf if s <= edge else F.col("_b")[2 * i]).alias("lo"), (inf if s >= 1 - edge else F.col("_b")[2 * i + 1]).alias("hi")) for i, s in enumerate(shares)]
+    inf, nan = F.lit(float("inf")), F.lit(float("nan"))  # nothing is greater than the latter
+    each = [F.struct(F.lit(s).alias("share"), (-inf if s <= edge else F.col("_b")[2 * i]).alias("lo"), (nan if s >= 1 - edge else F.col("_b")[2 * i + 1]).alias("hi")) for i, s in enumerate(shares)]
     asked = bounds.select(group, "_n", F.explode(F.array(*each)).alias("a")).select(group, "_n", "a.*")
-    met = rows.join(asked.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g")))
-    below = met.groupBy(group, "share").agg(F.count(F.when(F.col("_v") < F.col("lo"), 1)).alias("_below"), F.first("_n").alias("_n"))
-    inside = met.where((F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi"))).groupBy(group, "share", "_v").agg(F.count("*").alias("_c"))
-    order = Window.partitionBy(group, "share").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = inside.withColumn("_upto", F.sum("_c").over(order)).withColumnsRenamed({group: "_g", "share": "_s"})
-    both = below.join(placed, F.col(group).eqNullSafe(F.col("_g")) & (F.col("share") == F.col("_s")))
+    met = rows.join(asked.withColumnRenamed(group, "_g"), F.col(group).eqNullSafe(F.col("_g"))).where(F.col("_v") <= F.col("hi"))
+    # the null value stands for all that are below the bracket, and comes first
+    counts = met.groupBy(group, "share", F.when(F.col("_v") >= F.col("lo"), F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
+    order = Window.partitionBy(group, "share").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumn("_upto", F.sum("_c").over(order))
     rank = (F.col("_n") - 1) * F.col("share")
-    at = lambda r: F.min(F.when(F.col("_below") + F.col("_upto") > r, F.col("_v")))
-    found = both.groupBy(group, "share").agg(at(F.floor(rank)).alias("_lo"), at(F.ceil(rank)).alias("_hi"), F.first(rank - F.floor(rank)).alias("_f"))
+    at = lambda r: F.min(F.when(F.col("_upto") > r, F.col("_v")))
+    missed = F.max((F.col("_v").isNull() & (F.col("_upto") > F.floor(rank))).cast("int")) > 0
+    found = placed.groupBy(group, "share").agg(at(F.floor(rank)).alias("_lo"), at(F.ceil(rank)).alias("_hi"), F.first(rank - F.floor(rank)).alias("_f"), missed.alias("_missed"))
+    found = found.withColumn("_hi", F.when(F.col("_missed") | F.col("_hi").isNull(), F.raise_error(F.lit("a quantile outside its bracket")).cast("double")).otherwise(F.col("_hi")))
     return found.select(group, "share", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("quantile"))
 
 

@@ -1,11 +1,17 @@
 """Queries do the whole job: held against SQL over whole tables, or against brute force."""
 
 import decimal
+import random
+from collections.abc import Iterator
+from unittest import mock
 
 import duckdb
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from placewright import plans
+from placewright.operators import report
 
 SF = "/root/testdata/sf0.01"
 
@@ -56,3 +62,25 @@ def test_searches_find_other_queries_but_not_themselves(spark, tmp_path, name):
 def test_left_join_holds_all_sizes(spark, db):
     want = db.sql(plans.ORACLES["left_join_suffix"])
     same_rows(plans.QUERIES["left_join_suffix"](spark, SF), want)
+
+
+def test_quantiles_hold_when_brackets_differ_between_evaluations(spark):
+    """Where blocks come in any order, approximate quantiles are off by some ranks, and otherwise at each evaluation."""
+    many, shares = 40_000, [0.0, 0.25, 0.5, 0.75, 1.0]
+    values = spark.range(0, many, 1, 4).select((F.col("id") % 2).alias("g"), F.floor(F.col("id") / 2).cast("double").alias("v"))
+
+    @F.pandas_udf("double")
+    def moved(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        by = random.Random().uniform(-2, 2)  # within the bracket's margin of 6 ranks, along with the approximation's 2
+        for v in batches:
+            yield v + by
+
+    with mock.patch.object(report.F, "percentile_approx", lambda v, *a, real=F.percentile_approx: real(moved(v), *a)):
+        got = report.exact_quantiles(values, "g", "v", shares).collect()
+    assert sorted(tuple(r) for r in got) == [(g, s, s * (many // 2 - 1)) for g in (0, 1) for s in shares]
+
+
+def test_quantiles_of_not_a_number(spark):
+    values = spark.createDataFrame([("a", x) for x in (1.0, 2.0, float("nan"), None)], "g string, v double")
+    got = {r.share: r.quantile for r in report.exact_quantiles(values, "g", "v", [0.0, 0.5, 1.0]).collect()}
+    assert got[0.0] == 1 and got[0.5] == 2 and got[1.0] != got[1.0]  # the greatest, as in the SQL
