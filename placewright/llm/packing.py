@@ -41,6 +41,8 @@ TOKENIZER = "word_bpe_49k.json"
 GROUP, SENT_SEQUENCES = 60_000, 200_000
 #: Bytes that a worker's cache of words takes at most, about; words and texts' characters that are handled at once.
 CACHE_BYTES, WORDS_AT_ONCE, CHARS_AT_ONCE = 96 << 20, 20_000, 1 << 20
+#: New words that the tokenizer gets at once.
+LEARNT_AT_ONCE = 1000
 
 # Texts of these characters split alike by this pattern and by the tokenizer's: no character of other classes, no joining marks.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-©«-±´¶-¸»¿-ſ]*")
@@ -55,6 +57,10 @@ class Words:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        vocab, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
         self.cache = WordCache(cache_bytes, self._learn)
 
     def _plain(self, text: str) -> bool:
@@ -64,8 +70,19 @@ class Words:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, found, strict=True)}
+        """Words are encoded as one text with spaces between them, and told apart by the tokens that end a word."""
+        out = {}
+        for first in range(0, len(words), LEARNT_AT_ONCE):
+            some = words[first : first + LEARNT_AT_ONCE]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            if len(cuts) == len(some) and cuts[-1] == ids.nbytes:
+                data = ids.tobytes()
+                out.update(zip(some, (data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
+            else:  # a tokenizer that does not mark the ends of words
+                found = self.tokenizer.encode_batch(some, add_special_tokens=False)
+                out.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, found, strict=True))
+        return out
 
     def _ids_of(self, words: list[list[str]]) -> list[bytes]:
         look = self.cache.of(set(chain.from_iterable(words))).__getitem__

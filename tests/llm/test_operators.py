@@ -239,6 +239,34 @@ def test_token_ids_are_the_tokenizers(monkeypatch):
     assert tight.cache.held <= 4500 + 900 * (common.WordCache.ENTRY_BYTES + 20)
 
 
+def test_new_words_are_looked_up_together():
+    path, calls = public_tokenizers.path(packing.TOKENIZER), Counter()
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode(self, text, **options):
+            calls["texts"] += 1
+            return self.tokenizer.encode(text, **options)
+
+        def encode_batch(self, texts, **options):
+            calls["texts"] += len(texts)
+            return self.tokenizer.encode_batch(texts, **options)
+
+    t = Tokenizer.from_file(path)
+    new = list(dict.fromkeys(w for i in range(3500) for w in ("x" + "abcdefghij"[i % 10] * (i // 10 % 10) + "klmnopqrst"[i // 100 % 10] * (i // 100), "!" * (i % 40 + 1), "'s", "7", "é" * (i % 30 + 1))))
+    want = [np.array(t.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in new]
+    for marked, most in ((True, -(-len(new) // 1000)), (False, 2 * len(new))):
+        words, calls["texts"] = packing.Words(path), 0
+        words.tokenizer = Counted(words.tokenizer)
+        if not marked:  # as for a tokenizer without ends of words
+            words.ends[:] = False
+        found = words.cache.of(set(new))
+        assert [found[w] for w in new] == want
+        assert 0 < calls["texts"] <= most
+
+
 def test_word_cache_keeps_what_comes_again_within_its_bytes():
     asked = Counter()
 
