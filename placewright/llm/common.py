@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,6 +105,35 @@ def joined_by_frequency(rows: DataFrame, known: DataFrame, keys: list[str], coun
     return rows.join(sent, keys).unionByName(rows.join(sent.select(*keys), keys, "left_anti").join(rare, keys))
 
 
+#: What functions have kept in this Python worker, and the function that has run last.
+_KEPT: dict[str, dict] = {}
+_LAST: list[str] = []
+
+
+def kept(function: str) -> dict:
+    """A dictionary for what ``function`` keeps in a Python worker from one task to the next."""
+    return _KEPT.setdefault(function, {})
+
+
+def begin(function: str) -> None:
+    """What a function calls where it begins its work in a Python worker.
+
+    Workers are used again by later stages, beside the heap of an executor that has grown by then: what other functions have kept is
+    dropped, and memory that is free goes back to the system.
+    """
+    if _LAST == [function]:
+        return
+    _LAST[:] = [function]
+    for other, held in _KEPT.items():
+        if other != function:
+            held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 class WordCache:
     """What is known of words, in a worker's memory of bounded bytes: two generations, of which the older goes when the newer has half the bytes.
 

@@ -33,14 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import WordCache, documents, release, text_of, written
+from .common import WordCache, begin, documents, kept, release, text_of, written
 
 CAPACITY, END = 2048, 0
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces that one task packs, about; sequences that are sent to all tasks with their new place at most.
 GROUP, SENT_SEQUENCES = 60_000, 200_000
 #: Bytes that a worker's cache of words takes at most, about; words and texts' characters that are handled at once.
-CACHE_BYTES, WORDS_AT_ONCE, CHARS_AT_ONCE = 96 << 20, 20_000, 1 << 20
+CACHE_BYTES, WORDS_AT_ONCE, CHARS_AT_ONCE = 96 << 20, 20_000, 1 << 18
 #: New words that the tokenizer gets at once.
 LEARNT_AT_ONCE = 1000
 
@@ -113,7 +113,7 @@ class Words:
         yield from self._ids_of(waiting)
 
 
-_WORDS: dict[str, Words] = {}
+_WORDS: dict[str, Words] = kept("packing-pieces")
 
 
 def token_ids(texts: list[str], path: str) -> Iterator[np.ndarray]:
@@ -132,6 +132,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     path = path or public_tokenizers.path(TOKENIZER)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("packing-pieces")
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
@@ -224,6 +225,7 @@ def _grouped(table: DataFrame, sizes: list[str], limits: Capacities, group: int,
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        begin("packing")
         rows = pa.Table.from_batches(batches) if (batches := list(batches)) else None
         if rows is None or not rows.num_rows:
             return

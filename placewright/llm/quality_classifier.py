@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import trees
-from .common import documents, id_remainder, text_of
+from .common import begin, documents, id_remainder, kept, text_of
 from .training import labelled_sample
 
 BLOCK, LEVEL, DICTIONARY_BYTES = 512, 3, 112 * 1024
@@ -57,7 +57,7 @@ class CompressionModel:
         return out
 
 
-_COMPRESSORS: dict[bytes, zstandard.ZstdCompressor] = {}
+_COMPRESSORS: dict[bytes, zstandard.ZstdCompressor] = kept("quality_classifier")
 
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
@@ -95,6 +95,7 @@ def scorer(model: CompressionModel):
 
     @F.pandas_udf("double")
     def quality(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        begin("quality_classifier")
         for texts in batches:
             yield pd.Series(model.score(texts.tolist()), index=texts.index)
 

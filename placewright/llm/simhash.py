@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, documents, joined_by_frequency, release, text_of, unused, with_row_keys, written
+from .common import begin, column, documents, joined_by_frequency, release, text_of, unused, with_row_keys, written
 from .graph import components
 
 WORDS, SEED, BITS = 3, 42, 3
@@ -63,6 +63,7 @@ def fingerprints(text: Column) -> Column:
 
     @F.pandas_udf("long")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        begin("simhash")
         for texts in batches:
             yield pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64), index=texts.index)
 
@@ -137,6 +138,7 @@ def golay_keys(prints: np.ndarray, longer: bool = False) -> tuple[np.ndarray, np
 
 def _emit_keys(longer: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("simhash-keys")
         for batch in batches:
             prints = batch.column(0).to_numpy(zero_copy_only=False)
             for at in range(0, len(prints), 10_000):
@@ -164,6 +166,7 @@ def _bucket_links(prints: np.ndarray) -> list[tuple[int, int]]:
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, low, high, fp), sorted, to links (a, b). The last cell of a batch waits for the next batch."""
+    begin("simhash-meet")
     held_k, held_f, last, number = np.zeros(0, np.int64), np.zeros(0, np.int64), None, 0
 
     def links(k: np.ndarray, f: np.ndarray) -> pa.RecordBatch:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bwt, segments
-from .common import SENT_KEYS, column, documents, joined_by_frequency, release, text_of, unused, with_row_keys, written
+from .common import SENT_KEYS, begin, column, documents, joined_by_frequency, release, text_of, unused, with_row_keys, written
 
 LENGTH = 200
 #: Distinct segments of one key in a block at most; bytes of a block, about.
@@ -42,6 +42,7 @@ _INTS = "array<int>"
 
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("suffix-cut")
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -63,6 +64,7 @@ def _fetch(length: int):
     """(text, [(m, s, c, blocks, start, n)]) to (m, sub, blocks, s, c, data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("suffix-fetch")
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
@@ -117,6 +119,7 @@ def _expand(length: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("suffix-expand")
         rows: list[tuple] = []
         held = 0
         for batch in batches:
@@ -212,6 +215,7 @@ def with_kept_text(docs: DataFrame, name: str, length: int = LENGTH) -> DataFram
 
     @F.pandas_udf("string")
     def left(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        begin("suffix-left")
         for texts, ranges in batches:
             out = []
             for text, rs in zip(texts, ranges, strict=True):

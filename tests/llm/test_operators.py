@@ -267,6 +267,21 @@ def test_new_words_are_looked_up_together():
         assert 0 < calls["texts"] <= most
 
 
+def test_workers_drop_what_earlier_stages_kept(spark):
+    """A worker serves one stage after the other; a cache of words stays between tasks of its stage and no longer."""
+    path = public_tokenizers.path(packing.TOKENIZER)
+    model = quality_classifier.CompressionModel(b"", b"", (np.array([0.0]), np.array([0.5])), 0.5)
+    score = quality_classifier.scorer(model).func
+    for _ in range(2):
+        list(packing.token_ids(["some words"], path))
+        held = packing._WORDS[path]
+        common.begin("packing-pieces")
+        common.begin("packing-pieces")
+        assert packing._WORDS == {path: held}
+        assert [x.tolist() for x in score(iter([pd.Series(["a", "b"])]))] == [[0.5, 0.5]]
+        assert not packing._WORDS
+
+
 def test_word_cache_keeps_what_comes_again_within_its_bytes():
     asked = Counter()
 
